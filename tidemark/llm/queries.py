@@ -1,11 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import exact_dedup, mixing, sharding, simhash
+from . import decontamination, exact_dedup, mixing, quality, sharding, simhash
 
 QUERIES = {
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_shard": sharding.op6_shard,
+    "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 

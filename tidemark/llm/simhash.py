@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import maybe_broadcast, slices, staged
 from .components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -105,7 +105,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     gone = staged(judged.filter(~F.col("id").eqNullSafe(F.col("component"))).select("id").distinct(), "gone")
     twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
     twice = staged(twice, "twice")
-    left = docs.join(gone, F.col(id_col).eqNullSafe(gone.id), "left_anti")
+    left = docs.join(maybe_broadcast(gone, 24), F.col(id_col).eqNullSafe(gone.id), "left_anti")
     if twice.isEmpty():
         return left
     same = F.col(id_col).eqNullSafe(twice.id)
