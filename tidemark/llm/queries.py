@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontamination, exact_dedup, mixing, quality, sharding, simhash
+from . import decontamination, exact_dedup, mixing, quality, sharding, simhash, token_ids
 
 QUERIES = {
+    "op1_token_ids": token_ids.op1_token_ids,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
