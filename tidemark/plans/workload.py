@@ -58,11 +58,11 @@ def orders_replica(spark: SparkSession, sf_dir: str) -> Replica:
 
 
 def lineitem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items that share an order and number, as conflicting writes by their suppliers."""
+    """Line items that share an order and number, as conflicting writes by their suppliers; the dearest wins."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     scaled = lambda c: F.round(F.col(c) * 100).cast("long")
     cells = [("qty", scaled("l_quantity")), ("price", scaled("l_extendedprice")), ("discount", scaled("l_discount"))]
-    return _puts(li, F.concat_ws("-", "l_orderkey", "l_linenumber"), cells, F.lit(1), F.col("l_partkey") + 1, F.col("l_suppkey"))
+    return _puts(li, F.concat_ws("-", "l_orderkey", "l_linenumber"), cells, scaled("l_extendedprice") * 128 + scaled("l_discount"), F.col("l_partkey") + 1, F.col("l_suppkey"))
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
