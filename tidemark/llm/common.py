@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 #: Text bytes that a Python worker looks at together.
 SLICE_BYTES = 4 << 20
+#: Rows that Spark sends to a Python worker at a time.
+BATCH_ROWS = 1000
 
 _own_dir: list[str] = []
 
@@ -48,16 +50,42 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark send BATCH_ROWS rows at a time to Python workers, unless the session has a setting of its own.
+
+    Spark's own 10,000 rows of text are held several times over, by the JVM and by the worker. slices() puts
+    together as much as an operator wants to look at.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the column's bytes stay near `most`; one longer row stays whole."""
+    """The same rows in batches of about `most` bytes of a column; one longer row stays whole."""
+    held, size = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
         n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = (np.cumsum(n) - n) // most
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            yield batch.slice(int(a), int(b - a))
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(n):
+            base = int(ends[at - 1]) if at else 0
+            end = int(np.searchsorted(ends, base + most - size, side="left")) + 1
+            end = min(end, len(n))
+            held.append(batch.slice(at, end - at))
+            size += int(ends[end - 1]) - base
+            at = end
+            if size >= most:
+                yield _together(held)
+                held, size = [], 0
+                pa.default_memory_pool().release_unused()
+    if held:
+        yield _together(held)
+
+
+def _together(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.concat_batches(held)
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import huffman
-from .common import maybe_broadcast, new_path, ragged, slices, split_words, staged
+from .common import maybe_broadcast, new_path, ragged, slices, small_batches, split_words, staged
 
 END_ID = 1
 #: Ids after which a block ends with its document.
@@ -28,7 +28,9 @@ BLOCK_IDS = 1 << 17
 #: Ids that are decoded side by side.
 DECODE_IDS = 1 << 20
 #: Distinct words that a worker remembers; then it forgets half.
-MOST_WORDS = 400_000
+MOST_WORDS = 600_000
+#: Text bytes encoded together: of more text, more words are met again.
+SLICE_BYTES = 6 << 20
 #: Words of letters, then marks, whose ids are those of the letters followed by those of the marks: no
 #: apostrophes, which begin words of their own, and only letters whose lower case is one letter.
 SIMPLE = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!#$%&()*+,./:;=?@|\[\]{}~_^-]*)")
@@ -43,57 +45,51 @@ class Encoder:
 
     def __init__(self, json: str):
         self.tokenizer = Tokenizer.from_str(json)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # little-endian 32-bit ids
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
 
+    def each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
     def learn(self, words: list[str]) -> None:
         """Adds the ids of simple pieces, each of which is one word to the tokenizer."""
-        for a in range(0, len(words), 500):
-            some = words[a : a + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        for a in range(0, len(words), 1000):
+            some = words[a : a + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(cuts) == len(some):
-                ids = ids.tolist()
-                for w, b, e in zip(some, [0, *cuts], cuts, strict=False):
-                    self.known[w] = ids[b:e]
+                raw = ids.tobytes()
+                self.known.update({w: raw[b:e] for w, b, e in zip(some, [0, *cuts], cuts, strict=False)})
             else:
-                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.known[w] = e.ids
+                self.known.update(zip(some, self.each(some), strict=True))
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        known, simple, odd = self.known, {}, []
+    def words(self, words: list[str]) -> list[bytes]:
+        known = self.known
         if len(known) > MOST_WORDS:
             for w in list(known)[: MOST_WORDS // 2]:
                 del known[w]
-        out: list = [None] * len(words)
-        for i, w in enumerate(words):
-            ids = known.get(w)
-            if ids is not None:
-                out[i] = ids
-                continue
-            m = SIMPLE.fullmatch(w)
-            if m is None:
-                odd.append(i)
-                continue
-            letters, marks = m.groups()
-            simple[i] = letters.lower(), marks
-        need = dict.fromkeys(p for pair in simple.values() for p in pair if p and p not in known)
-        self.learn(list(need))
-        for i, (letters, marks) in simple.items():
-            out[i] = known[letters] + known[marks] if letters and marks else known[letters or marks] if letters or marks else []
-        if odd:
-            for i, e in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
-                out[i] = e.ids
+        out = list(map(known.get, words))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        pairs = [SIMPLE.fullmatch(words[i]) for i in missing]
+        pairs = [m and (m[1].lower(), m[2]) for m in pairs]
+        self.learn([p for p in dict.fromkeys(p for pair in pairs if pair for p in pair if p) if p not in known])
+        known[""] = b""
+        odd = [i for i, pair in zip(missing, pairs, strict=True) if not pair]
+        for i, pair in zip(missing, pairs, strict=True):
+            if pair:
+                out[i] = known[pair[0]] + known[pair[1]]
+        for i, ids in zip(odd, self.each([words[i] for i in odd]), strict=True):
+            out[i] = ids
         return out
 
     def texts(self, text: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of every text, and all ids one after the other."""
         bounds, index, distinct = split_words(text)
         ids = self.words(distinct)
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), "<u4")
         each = lens[index]
         ends = np.concatenate(([0], np.cumsum(each)))[bounds]
         ns = np.diff(ends)
@@ -128,6 +124,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     looked at. An empty table gives an empty set.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or new_path(spark, "ids")
     with open(tokenizer_path, encoding="utf-8") as f:
         json = spark.sparkContext.broadcast(f.read())
@@ -137,7 +134,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of plain 32-bit ids."""
         part, block, held, n = TaskContext.get().partitionId(), 0, [], 0
-        for batch in chain(slices(batches, "text"), [None]):
+        for batch in chain(slices(batches, "text", SLICE_BYTES), [None]):
             if batch is not None:
                 ns, ids = encoder(json.value).texts(batch.column("text"), end_id)
                 ends = np.cumsum(ns)
