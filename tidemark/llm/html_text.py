@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, slices, staged
+from .common import maybe_broadcast, slices, small_batches, staged
 
-#: Paths a page votes for, and paths that a host keeps.
+#: Paths a page votes for, and paths that a host keeps. A page's best container's score counts VOTES times, its
+#: next one's once less, and so on.
 VOTES, WINNERS = 3, 3
 #: If the winning container has less than this share of the text of the page's own best one, the latter is taken.
 LEAST_SHARE = 0.3
@@ -190,7 +191,7 @@ class Page:
                 if held:
                     depth = self.paths[node].count(">")
                     found.append((held / total + 0.01 * min(depth, 10) + (0.1 if tag in ("article", "main") else 0.0), node))
-        return sorted(found, key=lambda x: (-x[0], -x[1]))
+        return sorted(found, key=lambda x: (-x[0], -x[1]))  # of equal scores, the inner container first
 
     def held(self, node: int) -> int:
         return sum(len(text) for n, text, _ in self.real() if node <= n <= self.last[node])
@@ -222,7 +223,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             out = []
             for name, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 page = Page(html or "")
-                out += [(name, page.paths[node], score) for score, node in page.scores()[:VOTES]]
+                out += [(name, page.paths[node], (VOTES - place) * score) for place, (score, node) in enumerate(page.scores()[:VOTES])]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["host", "path", "score"])
 
     thin = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
@@ -239,6 +240,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null, empty and textless pages have the empty text. Pages without a host vote together. Each row counts,
     repeated ones too. Other columns are not looked at. An empty table gives an empty result.
     """
+    small_batches(pages.sparkSession)
     winners = staged(host_paths(pages, url_col, html_col), "host-paths")
     thin = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     met = thin.join(maybe_broadcast(winners, 500), "host", "left").select("id", "url", "html", "paths")
