@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .common import maybe_broadcast, ragged, slices, split_words, staged
+from .common import maybe_broadcast, ragged, slices, small_batches, split_words, staged
 
 WINDOW, COVERAGE = 5, 0.8
 #: Windows with fewer words that aren't placeholders say nothing about their source.
@@ -36,20 +36,50 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 IS_NUM, IS_CAP, IS_UNIT, FIRST, LAST_ENDS = 1, 2, 4, 8, 16
 #: Cells of the bitmap that lets only windows with a chance of a match leave their task: half a MB.
 CELLS = 1 << 22
-#: Distinct words that a worker remembers; then it starts anew.
-MOST_WORDS = 200_000
-_known: dict[str, tuple] = {}
-
-
-def _tokens(word: str) -> tuple[list[int], list[int], list[str]]:
-    """Hashes, flags and lower-cased strings of the tokens of what stands between white space."""
-    found = TOKEN.findall(word)
-    low = [t.lower() for t in found]
-    flags = [(IS_NUM if t[0].isnumeric() else 0) | (IS_CAP if t[0].isupper() and not (len(t) > 1 and t.isupper()) else 0) | (IS_UNIT if x in UNITS else 0) for t, x in zip(found, low, strict=True)]
-    if flags:
-        flags[0] |= FIRST
-        flags[-1] |= LAST_ENDS if ENDS.search(word) else 0
-    return [xxhash.xxh64_intdigest(x, 1) for x in low], flags, low
+#: Distinct words that a worker remembers; then it forgets half. Text bytes that it looks at together.
+MOST_WORDS, SLICE_BYTES = 400_000, 4 << 20
+#: A token as it is remembered: the hash of its lower-cased string and its flags.
+PACKED = np.dtype([("hash", ">u8"), ("flags", "u1")])
+#: Words of one run of letters, with marks after it that don't end a sentence or do.
+SIMPLE = regex.compile(r"([\p{L}]+)(?:[,*#$%&)|]*|([.!?:;]+))")
+_FLAG_BYTES = [bytes([f]) for f in range(32)]
+_known: dict[str, bytes] = {}
+
+
+def _tokens(word: str) -> list[str]:
+    return TOKEN.findall(word)
+
+
+def _flags(token: str, low: str) -> int:
+    return (IS_NUM if token[0].isnumeric() else 0) | (IS_CAP if token[0].isupper() and not (len(token) > 1 and token.isupper()) else 0) | (IS_UNIT if low in UNITS else 0)
+
+
+def _pack(word: str) -> bytes:
+    """The packed tokens of what stands between white space."""
+    m = SIMPLE.fullmatch(word)
+    if m:
+        token = m[1]
+        low = token.lower()
+        flags = (0 if token == low and low not in UNITS else _flags(token, low)) | FIRST | (LAST_ENDS if m[2] else 0)
+        return xxhash.xxh64_digest(low, 1) + _FLAG_BYTES[flags]
+    found = _tokens(word)
+    out = []
+    for k, token in enumerate(found):
+        low = token.lower()
+        flags = _flags(token, low) | (FIRST if k == 0 else 0) | (LAST_ENDS if k == len(found) - 1 and ENDS.search(word) else 0)
+        out.append(xxhash.xxh64_digest(low, 1) + _FLAG_BYTES[flags])
+    return b"".join(out)
+
+
+def _packed(words: list[str]) -> list[bytes]:
+    if len(_known) > MOST_WORDS:
+        for w in list(_known)[: MOST_WORDS // 2]:
+            del _known[w]
+    out = list(map(_known.get, words))
+    for i, got in enumerate(out):
+        if got is None:
+            out[i] = _known[words[i]] = _pack(words[i])
+    return out
 
 
 def windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, callable]:
@@ -58,17 +88,10 @@ def windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, callabl
     Slots are, for each token of a window, what its placeholder stands for, and the empty string for a word.
     """
     bounds, index, distinct = split_words(text)
-    if len(_known) > MOST_WORDS:
-        _known.clear()
-    got = []
-    for w in distinct:
-        t = _known.get(w)
-        if t is None:
-            t = _known[w] = _tokens(w)
-        got.append(t)
-    lens = np.fromiter((len(t[0]) for t in got), np.int64, len(got))
-    flat_hash = np.array([h for t in got for h in t[0]], np.uint64)
-    flat_flags = np.array([f for t in got for f in t[1]], np.uint8)
+    got = _packed(distinct)
+    lens = np.fromiter(map(len, got), np.int64, len(got)) // PACKED.itemsize
+    packed = np.frombuffer(b"".join(got), PACKED)
+    flat_hash, flat_flags = packed["hash"].astype(np.uint64), packed["flags"].copy()
     starts = np.cumsum(lens) - lens
     each = lens[index]
     at = ragged(starts[index], each)
@@ -111,19 +134,22 @@ def windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, callabl
     good, key = np.concatenate((good, head)), np.concatenate((key[good], other))
 
     def slots(which: np.ndarray) -> list[list[str]]:
-        strings = [s for t in got for s in t[2]]
-        return [[strings[at[good[w] + k]] if slot[good[w] + k] and (k or is_name[w]) else "" for k in range(WINDOW)] for w in which]
+        owner = np.repeat(index, each)  # the word that each token is from, and the token's place in it
+        nth = at - starts[owner]
+        string = lambda t: _tokens(distinct[owner[t]])[nth[t]].lower()
+        return [[string(good[w] + k) if slot[good[w] + k] and (k or is_name[w]) else "" for k in range(WINDOW)] for w in which]
 
     return row[good], good - per_row[row[good]], key.view(np.int64), slots
 
 
 def template_windows(table: DataFrame, id_col: str, text_col: str, only: np.ndarray | None = None) -> DataFrame:
     """(id, at, key, slots): the windows of every row's text; only those whose cell is set, if a bitmap is given."""
+    small_batches(table.sparkSession)
     thin = table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sent = None if only is None else table.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             row, at, key, slots = windows(batch.column("text"))
             which = np.arange(len(key))
             if sent is not None:
