@@ -14,13 +14,11 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Cells per row, hashes per row, and the most cells of a filter (a quarter of a GB at two bits each:
-#: past it the filter lets more single rows through to the shuffle, the result stays the same).
-CELLS_PER_ROW, HASHES, MOST_CELLS = 16, 4, 1 << 30
+#: Cells per row, hashes per row, and the most cells of a filter (16 MB of bits to send, 256 MB while a task
+#: counts). Past it the filter lets more single rows through to the shuffle; the result stays the same.
+CELLS_PER_ROW, HASHES, MOST_CELLS = 16, 4, 1 << 27
 #: Cells of one segment: filters are merged segment by segment.
 SEGMENT = 1 << 16
-#: The filter is sent to executors only up to this size in bytes.
-MOST_BYTES = MOST_CELLS // 8
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -67,7 +65,7 @@ def repeat_filter(digests: DataFrame, cells: int) -> np.ndarray:
     parts = digests.mapInArrow(count, "segment long, once binary, twice binary")
     merged = parts.groupBy("segment").applyInArrow(merge, "segment long, twice binary")
     bits = np.zeros(cells // 8, np.uint8)
-    for row in merged.toLocalIterator():  # cells / 8 bytes in all, at most MOST_BYTES
+    for row in merged.toLocalIterator():  # cells / 8 bytes in all, at most 16 MB
         part = np.frombuffer(row.twice, np.uint8)
         bits[row.segment * SEGMENT // 8 :][: len(part)] = part
     return bits

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, staged
 
-#: Times that a document may be taken, and rows that a range of the order holds on average.
-REPEATS, RANGE_ROWS = 3, 2000
+#: Times that a document may be taken; rows that a range of the order holds on average, but at most so many
+#: ranges: what is kept for each range passes through one task.
+REPEATS, RANGE_ROWS, MOST_RANGES = 3, 2000, 1 << 17
 SEED = "mix-1"
 MOST_FINISH = 4
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,7 +59,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     key = F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1"))  # code point order, null last
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     thin = staged(docs.select(F.col(id_col).alias("id"), key.alias("key"), words(F.col(text_col)).alias("size"), digest.alias("digest")), "sizes")
-    ranges = max(1, thin.count() // RANGE_ROWS)
+    ranges = min(MOST_RANGES, max(1, thin.count() // RANGE_ROWS))
     placed = thin.withColumn("cut", F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") * ranges / 2**32))
     sums = staged(placed.groupBy("key", "cut").agg(F.sum("size").alias("sum")), "sums")
     goals = staged(targets(sums.groupBy("key").agg(F.sum("sum").alias("source_size")), repeats), "targets")
@@ -115,7 +116,8 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce('0' || source, '1') AS key,
-         coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS digest
+         coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS digest
   FROM documents),
 w AS (
   SELECT key, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY key) - 1) % 3 + 1)::DOUBLE AS weight

@@ -15,6 +15,8 @@ from .common import maybe_broadcast, new_path, staged
 SHARDS, SEED = 40, 11
 #: Bytes of text that a bucket holds on average, and bytes that count for a row besides its text.
 BUCKET_BYTES, ROW_BYTES = 4 << 20, 16
+#: At most so many buckets, so that their offsets (24 MB) can always be broadcast; at 100 TB a bucket has 100 MB.
+MOST_BUCKETS = 1 << 20
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -28,7 +30,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str =
         raise ValueError(f"docs has the columns {sorted(clash)}, which the result adds")
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
+    buckets = min(MOST_BUCKETS, max(1, -(-total // bucket_bytes)))
     mixed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     bucket = F.pmod(mixed, F.lit(buckets))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
@@ -42,7 +44,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str =
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = staged(counts.select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "bases")
     place = F.col("base") + F.col("at")
-    met = dealt.join(maybe_broadcast(bases, 24), "bucket")
+    met = dealt.join(maybe_broadcast(bases, 24, 24 * MOST_BUCKETS), "bucket")
     return met.select("row.*", (place % shards).cast("int").alias("shard"), F.floor(place / F.lit(shards)).alias("slot"))
 
 
