@@ -258,6 +258,8 @@ FROM d LEFT JOIN f ON f.record_id = d.record_id AND f.col_name = d.col_name WHER
     "text_to_text": q(EDITED, select="SELECT a.doc_id, string_agg(coalesce(ed.new, a.content), chr(10) ORDER BY a.i) AS text FROM alive a LEFT JOIN ed ON ed.doc_id = a.doc_id AND ed.i = a.i AND ed.node_id = 3 GROUP BY a.doc_id"),
     "text_merge_lww": q(EDITED, select="SELECT a.doc_id, a.line_id, coalesce(ed.new, a.content) AS content, CASE WHEN ed.i IS NULL THEN 1 ELSE 2 END::BIGINT AS line_version, CASE WHEN ed.i IS NULL THEN 1 ELSE 2 END::BIGINT AS db_version, coalesce(ed.node_id, 1)::BIGINT AS node_id FROM alive a LEFT JOIN ed ON ed.doc_id = a.doc_id AND ed.i = a.i AND ed.node_id = 3"),
     "text_merge_bww": q(EDITED, select="SELECT doc_id, line_id, CASE node_id WHEN 3 THEN 0 ELSE 1 END::BIGINT AS at, 2::BIGINT AS db_version, node_id::BIGINT AS node_id, new AS content FROM ed UNION ALL SELECT doc_id, line_id, 0, 1, 1, content FROM alive WHERE i % 5 <> 4"),
+    "text_merge_auto": q(EDITED, select="SELECT a.doc_id, a.line_id, coalesce(ed.new, a.content) AS content, CASE WHEN ed.i IS NULL THEN 1 ELSE 2 END::BIGINT AS line_version, CASE WHEN ed.i IS NULL THEN 1 ELSE 2 END::BIGINT AS db_version, coalesce(ed.node_id, 1)::BIGINT AS node_id, (ed.i IS NOT NULL)::INT AS conflicts FROM alive a LEFT JOIN ed ON ed.doc_id = a.doc_id AND ed.i = a.i AND ed.node_id = 3"),
+    "text_word_diff": q(EDITED, select=r"SELECT doc_id, line_id, node_id::BIGINT AS node_id, len(regexp_extract_all(content, '[^ \t\n\x0B\f\r]+'))::INT AS start, len(regexp_extract_all(content, '[^ \t\n\x0B\f\r]+'))::INT AS \"end\", 'edit' || node_id::VARCHAR AS words FROM ed".replace('\\"', '"')),
     "text_tombstones": q(LINES, select="SELECT doc_id, line_id, 1::BIGINT AS line_version, 2::BIGINT AS db_version, 2::BIGINT AS node_id, 2::BIGINT AS local_db_version FROM ln WHERE i % 11 = 10"),
     "text_changes_since": q(EDITED, select="""
 SELECT doc_id, line_id, 'Insert' AS type, (10000 * (i + 1))::VARCHAR AS position, new AS content, 2::BIGINT AS line_version, 2::BIGINT AS db_version, 3::BIGINT AS node_id FROM ed WHERE node_id = 3
@@ -280,6 +282,7 @@ GROUP BY ALL"""),
     "list_delete": q(CONV, select=f"SELECT list_id, replica_id, sequence, 2::BIGINT AS version, 99::BIGINT AS db_version FROM cv WHERE NOT deleted QUALIFY row_number() OVER (PARTITION BY list_id ORDER BY {LIST_ORDER}) = 1"),
     "list_changes_since": q(CONV, select="SELECT list_id, replica_id, sequence, deleted FROM cv WHERE sequence > 2"),
     "snapshot_recover_state": q(*STAMPED, select=f"SELECT {STATE}, local_db_version FROM state"),
+    "incremental_snapshot_delta": q(EV, merged(), select="SELECT record_id, col_name FROM state WHERE record_id IN (SELECT record_id FROM state WHERE node_id = 3)"),
     "wal_replay_state": q(*STAMPED, select=f"SELECT {STATE}, local_db_version FROM state"),
     "state_digest": q(
         EV, merged(),
