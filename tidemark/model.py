@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHANGES_DDL = "seq long, record_id string, op string, col_name string, value string, col_version long, db_version long, node_id long, local_db_version long, flags int"
 CELLS_DDL = "record_id string, col_name string, value string, present boolean, col_version long, db_version long, node_id long, local_db_version long"
@@ -25,7 +26,9 @@ VERSION = ["col_version", "db_version", "node_id"]
 
 
 def empty(spark: SparkSession, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], ddl)
+    """A frame without rows that the optimiser knows to be empty: joins with it go from the plan."""
+    fields = StructType.fromDDL(ddl).fields
+    return spark.range(1).filter(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def version(prefix: str = "") -> Column:

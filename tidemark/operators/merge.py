@@ -107,8 +107,8 @@ def merge(replica: Replica, changes: DataFrame, rule: Rule = LAST_WRITE, ignore_
     own, above = _incumbents(replica, writes, ignore_parent)
     held = own if above is None else own.unionByName(above)
     before = held.select(*CELL_COLS, F.lit(None).cast("long").alias("seq"))
-    lasting = before.unionByName(writes.filter("gone is null").select(*CELL_COLS, "seq"))
-    cells = _winners(lasting, rule).join(deletes.select("record_id"), "record_id", "left_anti")
+    lasting = before.join(deletes.select("record_id"), "record_id", "left_anti").unionByName(writes.filter("gone is null").select(*CELL_COLS, "seq"))
+    cells = _winners(lasting, rule)
     if above is not None:
         # A parent's record is copied when the first write to it is accepted.
         touched = cells.filter("seq is not null").select("record_id").unionAll(own.select("record_id")).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import positions, words
+from ..model import empty
 from . import clock
 
 CONFLICTS = "array<struct<db_version:bigint,node_id:bigint,content:string>>"
@@ -39,7 +40,7 @@ class Text:
 
 
 def new(spark: SparkSession, node_id: int) -> Text:
-    return Text(node_id, spark.createDataFrame([], LINES_DDL), spark.createDataFrame([], TOMBS_DDL))
+    return Text(node_id, empty(spark, LINES_DDL), empty(spark, TOMBS_DDL))
 
 
 def load(documents: DataFrame, node_id: int, separator: str = "\n") -> Text:
@@ -50,7 +51,7 @@ def load(documents: DataFrame, node_id: int, separator: str = "\n") -> Text:
         *[F.lit(v).cast("long").alias(c) for c, v in (("line_version", 1), ("db_version", 1), ("node_id", node_id), ("local_db_version", 1))],
         F.lit(None).cast(CONFLICTS).alias("conflicts"), F.lit(None).cast("string").alias("base_content"),
     )
-    return Text(node_id, lines, documents.sparkSession.createDataFrame([], TOMBS_DDL), 1)
+    return Text(node_id, lines, empty(documents.sparkSession, TOMBS_DDL), 1)
 
 
 def ordered(text: Text) -> DataFrame:
