@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ragged, slices, staged
+from .common import ragged, slices, small_batches, staged
 
 OPEN, MIDDLE, CLOSE = b"<s>[INST]", b"[/INST]\n", b"</s>\n"
 #: The control strings' forms; k backslashes follow the first character of one escaped k times.
@@ -66,6 +66,7 @@ def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     ones; a null turn comes first; turns with one number follow each other by role and text, repeated rows too.
     Null ids make one conversation. Other columns are not looked at. An empty table gives an empty result.
     """
+    small_batches(rows.sparkSession)
     thin = rows.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     ordered = thin.repartition("id").sortWithinPartitions("id", "turn", "role", "text")
     names = ["id", "chunk", "n_turns", "formatted", "loss_starts", "loss_ends"]

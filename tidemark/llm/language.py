@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, split_words, staged
+from .common import slices, small_batches, split_words, staged
 
 #: The model is fitted to at most this many labelled rows of each language, those whose ids have the least
 #: hashes, and knows at most so many words and n-grams: the most frequent.
@@ -112,6 +112,7 @@ def held_out(id_col) -> F.Column:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """The model of the rows that have a language and an id and aren't held out; None if there are none."""
+    small_batches(docs.sparkSession)
     thin = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
     langs = [r.lang for r in thin.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()]
     cut = 2.0**64
@@ -157,6 +158,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if model is None:
         return thin.select(F.col("id").alias(id_col), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

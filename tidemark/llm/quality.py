@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import slices, small_batches, staged
 
 BINS, GRAMS = 1 << 18, 4
 #: Bins of the repeats' n-grams: 1 << n and up, from here.
@@ -148,6 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Ids that are null or whose labels disagree or are null teach nothing.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id"))
     known = known.agg(F.min(label_col).alias("y"), F.max(label_col).alias("y2")).filter("y = y2").select("id", (F.col("y") > 0).alias("y"))
     sample = staged(known.orderBy(F.xxhash64("id"), "id").limit(sample_rows), "sample")
@@ -166,6 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs, all columns, with the double __quality, 0 to 1. Null and empty texts get the score of no features."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, slices, staged
+from .common import maybe_broadcast, slices, small_batches, staged
 from .components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -47,6 +47,7 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = SHINGLE) -> DataFrame:
     """docs' first column as `id` and the text's fingerprint as the signed long `fp`."""
+    small_batches(docs.sparkSession)
     thin = docs.select(F.col(docs.columns[0]).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
