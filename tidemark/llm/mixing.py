@@ -46,8 +46,14 @@ def targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
     return rows.select("key", "source_size", F.least(F.col("cap").cast("double"), found * F.col("weight")).alias("target"))
 
 
+def _keys(id_col: str, source_col: str, seed: str) -> tuple[F.Column, F.Column]:
+    """A source's key, in code point order with null last, and the digest that shuffles its documents."""
+    key = F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1"))
+    return key, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, repeats: int = REPEATS) -> DataFrame:
-    """For every row: id, key (of its source), size, source_size, target and times, how often the mix takes it.
+    """For every row: id, key (of its source), digest, size, source_size, target and times, how often the mix takes it.
 
     A null source is the last of the sources. Texts without words, null ones too, have size 0 and are taken 0
     times; if there are no words at all, nothing is taken. Repeated rows are separate entries; entries that
@@ -55,9 +61,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     even where single documents are so much larger than targets that the budget isn't used up by then.
     Other columns are not looked at. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    key = F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1"))  # code point order, null last
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    key, digest = _keys(id_col, source_col, seed)
     thin = staged(docs.select(F.col(id_col).alias("id"), key.alias("key"), words(F.col(text_col)).alias("size"), digest.alias("digest")), "sizes")
     ranges = min(MOST_RANGES, max(1, thin.count() // RANGE_ROWS))
     placed = thin.withColumn("cut", F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") * ranges / 2**32))
@@ -92,20 +96,26 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     else:
         taken = []
     times = sum((F.when(F.col("size") > 0, F.coalesce(t, F.lit(False))).otherwise(False).cast("int") for t in taken), F.lit(0))
-    return ends.select("id", "key", "size", "source_size", "target", times.cast("int").alias("times"))
+    return ends.select("id", "key", "digest", "size", "source_size", "target", times.cast("int").alias("times"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, repeats: int = REPEATS) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it.
 
-    Rows that repeat an id with one source and size share the least of their times.
+    What a source's queue gives in each round ends at one place in its shuffled order, so a row needs only its
+    source's places to know how often it is taken: texts don't move. Rows that repeat an id, source and size
+    share the most of their times.
     """
-    times = plan(docs, id_col, text_col, source_col, seed, repeats).groupBy("id", "key", "size").agg(F.min("times").alias("times")).filter("times > 0")
-    chosen = staged(times, "times").select(F.struct("id", "key", "size").alias("__mix_row"), F.sequence(F.lit(1), "times").alias("__mix_times"))
-    key = F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1"))
-    row = F.struct(F.col(id_col).alias("id"), key.alias("key"), words(F.col(text_col)).alias("size"))
-    met = docs.withColumn("__mix_key", row).join(chosen, F.col("__mix_key").eqNullSafe(F.col("__mix_row")))
-    return met.withColumn("__mix_time", F.explode("__mix_times")).select(*[met[f"`{c}`"] for c in docs.columns])
+    key, digest = _keys(id_col, source_col, seed)
+    place = F.struct("digest", "id", "size")
+    ends = [F.max(F.when(F.col("times") > k, place)).alias(f"__mix_end{k}") for k in range(repeats)]
+    rows = plan(docs, id_col, text_col, source_col, seed, repeats).groupBy(F.col("key").alias("__mix_key")).agg(*ends)
+    rows = staged(rows, "queue-ends")
+    mine = F.struct(digest.alias("digest"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("size"))
+    met = docs.withColumn("__mix_at", mine).withColumn("__mix_source", key).join(maybe_broadcast(rows, 400), F.col("__mix_source") == F.col("__mix_key"))
+    times = sum((F.coalesce(F.col("__mix_at") <= F.col(f"__mix_end{k}"), F.lit(False)).cast("int") for k in range(repeats)), F.lit(0))
+    taken = met.withColumn("__mix_times", F.when(F.col("__mix_at.size") > 0, times).otherwise(0)).filter("__mix_times > 0")
+    return taken.withColumn("__mix_time", F.explode(F.sequence(F.lit(1), "__mix_times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
