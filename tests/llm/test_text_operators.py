@@ -14,7 +14,8 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from tidemark.llm import common, components, decontamination, exact_dedup, huffman, language, mixing, quality, sharding, simhash, token_ids
+import corpus_pipeline
+from tidemark.llm import common, components, decontamination, exact_dedup, huffman, language, mixing, quality, sharding, similar, simhash, token_ids
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, id string, size string, key string, digest string, fp string, bucket string"
 LONG = " ".join(f"word{i % 977} thing" for i in range(40_000))
@@ -316,3 +317,30 @@ def test_language(spark):
     assert got[505].lang_pred in known and all(0 <= r.score <= 1 for r in got.values()) and got[500].score == 0
     assert language.learn(frame(spark, [])) is None
     assert [r.lang_pred for r in language.identify(frame(spark, rows[:1]), None).collect()] == ["und"]
+
+
+def test_similar_rows_are_those_of_all_pairs(spark):
+    rng = random.Random(8)
+    rows = list(AWKWARD)
+    for g in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.choice([6, 40, 300]))]
+        for k in range(8):
+            words = base[:]
+            for _ in range(rng.randrange(6) * len(base) // 100):
+                words[rng.randrange(len(base))] = f"changed{rng.randrange(50)}"
+            rows.append((100 + 10 * g + k, " ".join(words), "en", "z"))
+    rng.shuffle(rows)
+    sets = {}
+    for i, t, *_ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    alike = lambda a, b: a == b or len(a & b) / len(a | b) >= 0.8
+    label = _classes(sets, [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])])
+    docs = frame(spark, rows)
+    kept = similar.keep_one(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values())) and kept.columns == docs.columns
+    assert len(set(label.values())) < simhash.keep_one(docs).count()
+    staged = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r.doc_id for r in staged.collect()) == sorted(set(label.values()))
+    assert similar.keep_one(frame(spark, [])).collect() == []
+    assert [r.doc_id for r in similar.keep_one(frame(spark, [(3, None, "", ""), (2, "", "", "")])).collect()] == [2]

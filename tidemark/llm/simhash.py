@@ -27,21 +27,27 @@ SEED = 42
 SHINGLE, BITS = 3, 2
 
 
-def fingerprint(text: str | None, words: int = SHINGLE) -> int:
-    """Majority of the bits of the shingles' XXH64; zero for no words."""
+def shingles(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the runs of `words` words, 65,536 at a time; of a shorter text, of all its words; none of no words."""
     found = WORD.findall((text or "").encode().translate(LOWER))
     if not found:
-        return 0
+        return
     n = max(1, len(found) - words + 1)
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = (ends[words - 1 :] if len(found) >= words else ends[-1:]).tolist()
     digest = xxhash.xxh64_intdigest
-    set_bits = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)), ">u8")
-        set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)), np.uint64)
+
+
+def fingerprint(text: str | None, words: int = SHINGLE) -> int:
+    """Majority of the bits of the shingles' XXH64; zero for no words."""
+    set_bits, n = np.zeros(64, np.int64), 0
+    for h in shingles(text, words):
+        set_bits += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big", signed=True)
 
 
@@ -78,7 +84,11 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
 def near_groups(rows: DataFrame, bits: int = BITS) -> DataFrame:
     """(fp, component) for every distinct fp of rows(id, fp); component is the least id reachable over links."""
     distinct = staged(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct, bits))
+    return named_groups(distinct, components(links(distinct, bits)))
+
+
+def named_groups(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, component) for distinct(fp, least) and the components (node, root) of the fps that have links."""
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "root")
     linked = named.filter("root is not null")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
@@ -101,7 +111,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """docs, all columns, without the rows whose component has a row with a smaller id; repeated ids stay once."""
     rows = staged(fingerprints(docs.select(id_col, text_col), text_col, words), "fingerprints")
-    groups = near_groups(rows, bits)
+    return keep_least(docs, rows, near_groups(rows, bits), id_col)
+
+
+def keep_least(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows(id, fp) whose component in groups(fp, component) has a smaller id; repeated ids stay once."""
     judged = rows.join(groups, "fp")
     gone = staged(judged.filter(~F.col("id").eqNullSafe(F.col("component"))).select("id").distinct(), "gone")
     twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
