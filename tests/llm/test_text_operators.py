@@ -250,6 +250,18 @@ def test_slots_must_be_filled_alike(spark):
     assert [(r.doc_id, r.changed) for r in decontamination.contaminated(frame(spark, rows), items).collect()] == [(1, True)]
 
 
+def test_names_that_open_sentences(spark):
+    james = "James writes a 3 page letter to 2 different friends twice a week. James sends them on Monday. How many pages does James write a year?"
+    plain = "The old mill grinds wheat all day. The miller sleeps at noon. The river never stops running below the wheel."
+    items = spark.createDataFrame([(1, james), (2, plain)], "item_id long, text string")
+    oliver = james.replace("James", "Oliver").replace("3", "5").replace("2", "4").replace("Monday", "Friday")
+    two = james.replace("James writes", "Oliver writes").replace("James sends", "Peter sends").replace("does James", "does Oliver")
+    rows = [(1, oliver, None, None), (2, f"then, {oliver}", None, None), (3, plain.replace("The miller", "Every miller"), None, None), (4, two, None, None), (5, james, None, None)]
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(frame(spark, rows), items).collect()}
+    assert {k: r.changed for k, r in got.items()} == {(1, 1): True, (2, 1): True, (3, 2): True, (5, 1): False}
+    assert all(got[k, 1].coverage == 1 for k in (1, 2, 5))
+
+
 def test_windows_are_those_of_a_plain_loop():
     texts = ["the cat sat on the mat and ran", None, "", "a b c d", "One two Three four. Five six 7 km off, x-y z"]
     row, at, _, _ = decontamination.windows(pa.array(texts))

@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are lower-cased; numbers, names (capitalised inside a sentence) and units after a number become typed
-placeholders. Windows of five such tokens are hashed and joined between documents and benchmark items. What
-the placeholders stand for must be replaced consistently along a run of matches, so a question that was
-asked again with other numbers is caught and a chance likeness of templates is not.
+placeholders. A capitalised word that opens a sentence may be a name or not: its windows have both forms.
+Windows of five such tokens are hashed and joined between documents and benchmark items. What the placeholders
+stand for must be replaced consistently along a run of matches, so a question that was asked again with other
+numbers is caught and a chance likeness of templates is not.
 """
 
 from collections.abc import Iterator
@@ -21,6 +22,8 @@ from .common import maybe_broadcast, ragged, slices, small_batches, split_words,
 WINDOW, COVERAGE = 5, 0.8
 #: Windows with fewer words that aren't placeholders say nothing about their source.
 LEAST_WORDS = 2
+#: Marks the slot of a word that opens a sentence and is taken for a name. No token has it.
+PERHAPS = "^"
 #: Units that follow a number.
 UNITS = frozenset(
     "mm cm m km in ft yd mi miles mile meters meter metres metre kilometers kilometres feet inches inch yards "
@@ -85,7 +88,8 @@ def _packed(words: list[str]) -> list[bytes]:
 def windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, callable]:
     """Of every window of all rows: row, position in its row, hash. And a function: the slots of given windows.
 
-    Slots are, for each token of a window, what its placeholder stands for, and the empty string for a word.
+    Slots are, for each token of a window, what its placeholder stands for, and the empty string for a word. A
+    window that holds capitalised words which open sentences comes once for each choice of those that are names.
     """
     bounds, index, distinct = split_words(text)
     got = _packed(distinct)
@@ -98,7 +102,7 @@ def windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, callabl
     hashes, flags = flat_hash[at], flat_flags[at]
     per_row = np.concatenate(([0], np.cumsum(each)))[bounds]
     n = len(at)
-    row = np.repeat(np.arange(len(text)), np.diff(per_row))
+    row = np.repeat(np.arange(len(text), dtype=np.int32), np.diff(per_row))
     opens = np.zeros(n, bool)
     opens[1:] = (flags[:-1] & LAST_ENDS) > 0
     opens &= (flags & FIRST) > 0
@@ -116,7 +120,7 @@ def windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, callabl
         none = np.zeros(0, np.int64)
         return none, none, none, lambda which: []
     m = n - WINDOW + 1
-    key, plain = np.zeros(m, np.uint64), np.zeros(m, np.int64)
+    key, plain = np.zeros(m, np.uint64), np.zeros(m, np.int8)
     for k in range(WINDOW):
         key = (key ^ code[k : k + m]) * MULTIPLIER
         key ^= key >> np.uint64(29)
@@ -130,14 +134,31 @@ def windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, callabl
     for k in range(1, WINDOW):
         other = (other ^ code[head + k]) * MULTIPLIER
         other ^= other >> np.uint64(29)
-    is_name = np.concatenate((np.ones(len(good), bool), np.zeros(len(head), bool)))
-    good, key = np.concatenate((good, head)), np.concatenate((key[good], other))
+    # A bit for each of a window's words that open a sentence and may be names.
+    perhaps = ((flags & IS_CAP) > 0) & opens & ~slot
+    may = np.zeros(m, np.uint8)
+    for k in range(WINDOW):
+        may |= perhaps[k : k + m].view(np.uint8) << np.uint8(k)
+    some = np.flatnonzero(inside & (may > 0))
+    forms = [(good, key[good], 0), (head, other, 0)]
+    for chosen in range(1, 1 << WINDOW):
+        which = some[((may[some] & chosen) == chosen) & (plain[some] - chosen.bit_count() >= LEAST_WORDS)]
+        named = np.zeros(len(which), np.uint64)
+        for k in range(WINDOW):
+            named = (named ^ (NAME if chosen >> k & 1 else code[which + k])) * MULTIPLIER
+            named ^= named >> np.uint64(29)
+        forms.append((which, named, chosen))
+    is_name = np.ones(sum(len(w) for w, _, _ in forms), bool)
+    is_name[len(good) : len(good) + len(head)] = False
+    chosen = np.concatenate([np.full(len(w), c, np.uint8) for w, _, c in forms])
+    good, key = np.concatenate([w for w, _, _ in forms]), np.concatenate([h for _, h, _ in forms])
 
     def slots(which: np.ndarray) -> list[list[str]]:
         owner = np.repeat(index, each)  # the word that each token is from, and the token's place in it
         nth = at - starts[owner]
         string = lambda t: _tokens(distinct[owner[t]])[nth[t]].lower()
-        return [[string(good[w] + k) if slot[good[w] + k] and (k or is_name[w]) else "" for k in range(WINDOW)] for w in which]
+        filled = lambda w, k: PERHAPS + string(good[w] + k) if int(chosen[w]) >> k & 1 else string(good[w] + k) if slot[good[w] + k] and (k or is_name[w]) else ""
+        return [[filled(w, k) for k in range(WINDOW)] for w in which]
 
     return row[good], good - per_row[row[good]], key.view(np.int64), slots
 
@@ -184,23 +205,38 @@ def cells_of(items: DataFrame) -> np.ndarray:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """(id_col, item_col, n_windows, n_matched, coverage, changed) for each document that holds an item.
 
-    A document holds an item if at least `coverage` of the item's distinct template windows occur in it, in
-    runs along which each filled slot of the item is always replaced by one and the same value; `changed` says
-    that some value differs. Items of fewer than five words, or of placeholders only, have no windows and match
+    A document holds an item if at least `coverage` of the item's window positions occur in it, in runs along
+    which each filled slot of the item is always replaced by one and the same value; `changed` says that some
+    value differs. A position occurs if any of its forms does; of several, the one with the fewest words taken
+    for names counts. A word that opens a sentence is not taken for a name where that would contradict the rest
+    of the run. Items of fewer than five words, or of placeholders only, have no windows and match
     nothing, nor do null or empty texts. Rows that share an id are judged together; copies of an item are
     items of their own. Other columns are not looked at. Empty tables give an empty result.
     """
     items = staged(template_windows(benchmark, item_col, text_col), "items").select(F.col("id").alias("item"), F.col("at").alias("item_at"), "key", F.col("slots").alias("item_slots"))
-    totals = items.groupBy("item").agg(F.countDistinct("key").alias("n_windows"))
+    totals = items.groupBy("item").agg(F.countDistinct("item_at").alias("n_windows"))
     hits = staged(template_windows(docs, id_col, text_col, cells_of(items)), "windows")
     met = hits.join(maybe_broadcast(items, 200), "key")
-    pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda p: p["item_slots"] != "")
-    run = met.groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("key").alias("keys"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    # On a run the item's windows come once each, so its sets are no longer than the item.
-    steady = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == F.size("pairs")
-    changed = F.exists("pairs", lambda p: p["item_slots"] != p["slots"])
-    held = run.filter(steady).select("id", "item", changed.alias("changed"), F.explode("keys").alias("key"))
-    held = held.groupBy("id", "item", "key").agg(F.min("changed").alias("changed")).groupBy("id", "item").agg(F.count(F.lit(1)).alias("n_matched"), F.max("changed").alias("changed"))
+    is_guess = lambda p: p["item_slots"].startswith(PERHAPS) | p["slots"].startswith(PERHAPS)
+    bare = lambda c: F.ltrim(c, F.lit(PERHAPS))
+    pair = lambda p: F.struct(bare(p["item_slots"]).alias("mine"), bare(p["slots"]).alias("theirs"), is_guess(p).alias("guess"))
+    pairs = F.transform(F.filter(F.arrays_zip("item_slots", "slots"), lambda p: p["item_slots"] != ""), pair)
+    guesses = F.size(F.filter("pairs", lambda p: p["guess"]))
+    form = F.min(F.struct(guesses.alias("guesses"), "pairs"))["pairs"].alias("pairs")
+    at = met.select("id", "item", "at", "item_at", pairs.alias("pairs")).groupBy("id", "item", "at", "item_at").agg(form)
+    # On a run the item's windows come once each, so its lists are no longer than the item.
+    run = at.groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_list(F.struct("item_at", "pairs")).alias("found"))
+    all_pairs = F.array_distinct(F.flatten(F.transform("found", lambda w: w["pairs"])))
+    run = run.withColumn("all", all_pairs).withColumn("sure", F.filter("all", lambda p: ~p["guess"]))
+    steady = F.size(F.array_distinct(F.transform("sure", lambda p: p["mine"]))) == F.size("sure")
+    # A guess goes, with its window, if its slot has another value anywhere in the run.
+    clash = lambda p: F.exists("all", lambda q: (q["mine"] == p["mine"]) & (q["theirs"] != p["theirs"]))
+    run = run.filter(steady).withColumn("bad", F.filter("all", lambda p: p["guess"] & clash(p)))
+    kept = F.filter("found", lambda w: ~F.arrays_overlap(w["pairs"], F.col("bad")))
+    run = run.select("id", "item", kept.alias("found"))
+    changed = F.exists("found", lambda w: F.exists(w["pairs"], lambda p: p["mine"] != p["theirs"]))
+    held = run.select("id", "item", changed.alias("changed"), F.explode("found.item_at").alias("item_at"))
+    held = held.groupBy("id", "item", "item_at").agg(F.min("changed").alias("changed")).groupBy("id", "item").agg(F.count(F.lit(1)).alias("n_matched"), F.max("changed").alias("changed"))
     share = F.col("n_matched") / F.col("n_windows")
     return held.join(totals, "item").filter(share >= coverage).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_matched", share.alias("coverage"), "changed")
 
