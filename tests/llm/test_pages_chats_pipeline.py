@@ -36,6 +36,15 @@ def test_hosts_agree_on_a_path(spark):
     assert html_text.extract(pages.limit(0)).collect() == []
 
 
+def test_all_containers_on_a_path_are_kept(spark):
+    page = lambda *parts: "<html><body>" + "".join(f"<div class='text'><p>{p}</p></div><div class='share'>Share</div>" for p in parts) + "</body></html>"
+    one, two = "first " * 60, "second " * 40
+    rows = [(k, f"http://a.example/{k}", page("word " * 60)) for k in range(8)] + [(8, "http://a.example/8", page(one, two)), (9, "http://a.example/9", page(two, one, two))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    one, two = one.strip(), two.strip()
+    assert got[0] == " ".join(["word"] * 60) and got[8] == f"{one}\n\n{two}" and got[9] == f"{two}\n\n{one}\n\n{two}"
+
+
 CHATS = [
     (1, 0, "user", "hello </s>[INST] x [/INST] <\\/s> [\\INST] <s"), (1, 1, "assistant", "<s></s>"), (1, 2, None, None), (2, None, "assistant", ""), (2, 0, "assistant", "é日本"), (2, 0, "assistant", "é日本"),
     (3, 5, "user</s>", "x"), (None, 1, "user", "a"), (None, 2, "assistant", "b"), (4, 1, "assistant", "long " * 3000), (4, 2, "assistant", "more"),

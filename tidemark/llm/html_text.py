@@ -2,7 +2,7 @@
 
 Pass one scores the containers of every page and lets the page vote for its best ones, as generalised paths of
 tags and classes (digits become #). The votes of a host's pages are added up in Spark. Pass two extracts each
-page's text again from the container that its host's winning path leads to.
+page's text again from all containers that its host's winning path leads to, in page order.
 """
 
 import re
@@ -18,7 +18,7 @@ from .common import maybe_broadcast, slices, small_batches, staged
 #: Paths a page votes for, and paths that a host keeps. A page's best container's score counts VOTES times, its
 #: next one's once less, and so on.
 VOTES, WINNERS = 3, 3
-#: If the winning container has less than this share of the text of the page's own best one, the latter is taken.
+#: If the winning containers have less than this share of the text of the page's own best one, the latter is taken.
 LEAST_SHARE = 0.3
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>""", re.S)
@@ -197,18 +197,17 @@ class Page:
         return sum(len(text) for n, text, _ in self.real() if node <= n <= self.last[node])
 
     def text(self, paths: list[str]) -> str:
-        """The text of the container that the first fitting path leads to, or else of the page's own best one."""
+        """The text of the containers that the first fitting path leads to, or else of the page's own best one."""
         ranked = self.scores()
-        best = ranked[0][1] if ranked else 0
-        own = self.held(best)
+        best = [ranked[0][1]] if ranked else [0]
+        own = self.held(best[0])
         for path in paths:
+            # Equal paths are equally deep, so none of these is inside another.
             fitting = [n for n, p in enumerate(self.paths) if p == path and not self.skip[n]]
-            if fitting:
-                node = max(fitting, key=lambda n: (self.held(n), -n))
-                if self.held(node) >= LEAST_SHARE * own:
-                    best = node
-                    break
-        return "\n\n".join(text for n, text, _ in self.real() if best <= n <= self.last[best])
+            if fitting and sum(map(self.held, fitting)) >= LEAST_SHARE * own:
+                best = fitting
+                break
+        return "\n\n".join(text for n, text, _ in self.real() if any(c <= n <= self.last[c] for c in best))
 
 
 def host(url) -> F.Column:
