@@ -232,6 +232,15 @@ def test_token_ids_round_trip(spark, monkeypatch, block):
     assert token_ids.read_ids(spark, token_ids.write_ids(frame(spark, []), name)).collect() == []
 
 
+def test_documents_without_ids_are_written(spark):
+    name = public_tokenizers.path("word_bpe_49k.json")
+    for texts in (["", None, ""], ["", "some words", None]):
+        rows = [(k, t, None, None) for k, t in enumerate(texts)]
+        path = token_ids.write_ids(frame(spark, rows).coalesce(1), name, end_id=None)
+        got = {r.doc_id: list(r.ids) for r in token_ids.read_ids(spark, path).collect()}
+        assert got == {k: Tokenizer.from_file(name).encode(t or "", add_special_tokens=False).ids for k, t in enumerate(texts)}
+
+
 def test_contaminated(spark):
     items = spark.createDataFrame([(1, "A train leaves Paris at 12 km per hour and then drives for 3 hours until it stops in London today"), (2, "too short text"), (3, None), (4, " ".join(f"w{chr(97 + k)}x" for k in range(20)))], "item_id long, text string")
     again = "foo. A train leaves Berlin at 45 miles per hour and then drives for 7 hours until it stops in Rome today yes"

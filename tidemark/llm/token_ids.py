@@ -139,7 +139,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
                 ns, ids = encoder(json.value).texts(batch.column("text"), end_id)
                 ends = np.cumsum(ns)
                 a = at = 0
-                for b in np.flatnonzero(np.diff((n + ends - 1) // BLOCK_IDS, append=-1)) + 1:
+                # Texts before any id are in block -1; no block is -2.
+                for b in np.flatnonzero(np.diff((n + ends - 1) // BLOCK_IDS, append=-2)) + 1:
                     e = int(ends[b - 1])
                     held.append((batch.column("id").slice(a, b - a), ns[a:b], ids[at:e]))
                     n += e - at
