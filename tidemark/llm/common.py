@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +14,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import Files
+
 #: A side of a join is broadcast only when its measured size is at most this many bytes.
 BROADCAST_BYTES = 8 << 20
 #: Text bytes that a Python worker looks at together.
 SLICE_BYTES = 4 << 20
 #: Rows that Spark sends to a Python worker at a time.
 BATCH_ROWS = 1000
+#: A table of less than this for each core is dealt out anew, as a scan has too few splits of it.
+CORE_BYTES = 4 << 20
 
 _own_dir: list[str] = []
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +41,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one of temporary(), or else below the shared folder."""
+    return f"{_folder.get() or shared_dir(spark) + '/tidemark'}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    Files(spark, path).delete("")
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[str]:
+    """Tables that are staged inside go to one folder, which is deleted at the end.
+
+    What operators return reads such tables, so it has to be written elsewhere before that.
+    """
+    path = f"{shared_dir(spark)}/tidemark/run-{uuid.uuid4().hex}"
+    token = _folder.set(path)
+    try:
+        yield path
+    finally:
+        _folder.reset(token)
+        delete(spark, path)
 
 
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -54,12 +81,28 @@ def small_batches(spark: SparkSession) -> None:
     """Lets Spark send BATCH_ROWS rows at a time to Python workers, unless the session has a setting of its own.
 
     Spark's own 10,000 rows of text are held several times over, by the JVM and by the worker. slices() puts
-    together as much as an operator wants to look at.
+    together as much as an operator wants to look at. Spark looks at the setting when a plan runs, which may be
+    after the operator has returned, so it stays for the session.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+    if "spark.sql.execution.arrow.maxRecordsPerBatch" not in spark.conf.getAll:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df for work in Python; a table too small for a split a core is dealt out by key, so that all cores work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * CORE_BYTES else df
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """name, or name with more underscores, so that docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of a column; one longer row stays whole."""
     held, size = [], 0
