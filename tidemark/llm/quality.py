@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, staged
+from .common import slices, small_batches, spread, staged, unused
 
 BINS, GRAMS = 1 << 18, 4
 #: Bins of the repeats' n-grams: 1 << n and up, from here.
 REPEATS = BINS
 ALL_BINS = BINS + (2 << GRAMS)
-#: The model is fitted to at most this many labelled rows: those whose ids have the least hashes.
-SAMPLE_ROWS = 4000
+#: The model is fitted to at most this many labelled rows, those whose ids have the least hashes, and to no more
+#: of them than have so many features in all (4 bytes each on the driver): both bound its memory.
+SAMPLE_ROWS, SAMPLE_FEATURES = 4000, 1 << 25
 SMOOTHING, COST, EPOCHS, FOLDS = 1.0, 1.0, 10, 3
 THRESHOLD, HELD_OUT_MOD = 0.3, 5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -33,7 +34,7 @@ CHUNK = 1 << 20
 
 
 def features(text: str | None) -> np.ndarray:
-    """Bins of the n-grams that occur in the whole text, each once."""
+    """Bins of the n-grams that occur in the whole text, each once, in no order."""
     raw = np.frombuffer((text or "").encode(), np.uint8)
     found = []
     for at in range(0, len(raw), CHUNK):
@@ -52,7 +53,8 @@ def features(text: str | None) -> np.ndarray:
     for n in range(1, GRAMS + 1):
         value = value[: max(0, len(same) - n + 1)] * 2 + same[n - 1 :]
         found.append(REPEATS + np.flatnonzero(np.bincount(value, minlength=1)) + (1 << n))
-    return np.unique(np.concatenate(found))
+    bins = np.concatenate(found)
+    return bins if len(raw) <= CHUNK else np.unique(bins)
 
 
 @dataclass
@@ -72,15 +74,16 @@ class Model:
 
 
 def fit_margins(rows: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Log-count ratios, the ratios times the fitted weights, and the bias."""
+    """Log-count ratios, the ratios times the fitted weights, and the bias.
+
+    A row's vector is its bins' ratios, brought to length one; it is looked up when needed rather than kept.
+    """
     counts = np.full((2, ALL_BINS), SMOOTHING)
     for bins, y in zip(rows, good, strict=True):
         counts[int(y), bins] += 1
     ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    vectors = []
-    for bins in rows:
-        x = ratios[bins]
-        vectors.append(x / (np.sqrt(np.square(x).sum()) or 1.0))
+    lengths = [float(np.sqrt(np.square(ratios[bins]).sum())) or 1.0 for bins in rows]
+    norms = [float(np.square(ratios[bins]).sum()) / n**2 for bins, n in zip(rows, lengths, strict=True)]
     w, bias, alpha = np.zeros(ALL_BINS), 0.0, np.zeros(len(rows))
     share = np.bincount(good.astype(int), minlength=2) / max(1, len(good))
     cost = COST * 0.5 / np.maximum(share[good.astype(int)], 1e-9)
@@ -88,9 +91,10 @@ def fit_margins(rows: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, n
     for _ in range(EPOCHS):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            bins, x = rows[i], vectors[i]
+            bins = rows[i]
+            x = ratios[bins] / lengths[i]
             gradient = sign[i] * (w[bins] @ x + bias) - 1
-            new = min(max(alpha[i] - gradient / (x @ x + 1), 0.0), cost[i])
+            new = min(max(alpha[i] - gradient / (norms[i] + 1), 0.0), cost[i])
             if step := new - alpha[i]:
                 alpha[i] = new
                 w[bins] += step * sign[i] * x
@@ -146,7 +150,10 @@ def held_out(id_col) -> F.Column:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """The model of the labelled documents that aren't held out, from a sample of at most sample_rows ids.
 
-    Ids that are null or whose labels disagree or are null teach nothing.
+    Ids that are null or whose labels disagree or are null teach nothing. A repeated label counts once, of
+    documents that repeat an id one teaches. Empty tables, or labels of one class, give a model that scores every
+    text alike. Sampled rows are taken in order of their ids' hashes while they have no more than
+    SAMPLE_FEATURES features in all (one row at least).
     """
     small_batches(docs.sparkSession)
     known = labels.filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id"))
@@ -160,13 +167,26 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(bins, pa.binary())], names=["id", "y", "bins"])
 
     schema = rows.select("id", "y").schema.add("bins", "binary")
+    made = staged(spread(rows, "id").mapInArrow(run, schema), "features")
     # A repeated id teaches once; the order is fixed, so the model is the same every time.
-    found = sorted({r.id: r for r in rows.mapInArrow(run, schema).orderBy("id", "bins").toLocalIterator()}.values(), key=lambda r: r.id)
-    return fit([np.frombuffer(r.bins, "<i4").astype(np.int64) for r in found], np.array([r.y for r in found], bool))
+    size = made.groupBy("id").agg(F.min(F.length("bins")).alias("size")).orderBy(F.xxhash64("id"), "id").collect()
+    ends = np.cumsum([r["size"] // 4 for r in size])
+    taken = {r.id for r, end in zip(size, ends, strict=True) if end <= max(SAMPLE_FEATURES, ends[0])}
+    found: dict = {}
+    for r in made.orderBy("id", F.length("bins").desc(), F.desc("bins")).toLocalIterator():
+        if r.id in taken:
+            found[r.id] = np.frombuffer(r.bins, "<i4"), r.y
+    return fit([bins for bins, _ in found.values()], np.array([y for _, y in found.values()], bool))
 
 
-def scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs, all columns, with the double __quality, 0 to 1. Null and empty texts get the score of no features."""
+def scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """docs, all columns and rows, with the double score_col, 0 to 1.
+
+    Null and empty texts get the score of no features, repeated rows the same. docs must not have a column named
+    score_col. An empty table gives an empty result.
+    """
+    if unused(docs, score_col) != score_col:
+        raise ValueError(f"docs has the column {score_col}, which the result adds")
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -175,16 +195,18 @@ def scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for array in texts:
             yield pa.array([sent.value.score(t.as_py()) for t in array], pa.float64())
 
-    return docs.withColumn("__quality", score(F.col(text_col)))
+    return docs.withColumn(score_col, score(F.col(text_col)))
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, without the rows that score below the threshold."""
-    return scores(docs, model, text_col).filter(F.col("__quality") >= threshold).drop("__quality")
+    """docs, all columns, without the rows that score below the threshold. An empty table gives an empty result."""
+    name = unused(docs, "quality_score")
+    return scores(docs, model, text_col, name).filter(F.col(name) >= threshold).drop(name)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = scores(docs.select("doc_id", "text"), model)
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__quality").alias("score"), (F.col("__quality") >= THRESHOLD).cast("int").alias("predicted"))
+    rows = scores(spread(docs.select("doc_id", "text"), "doc_id"), model)
+    score = F.col("quality_score")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
