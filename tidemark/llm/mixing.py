@@ -2,11 +2,15 @@
 
 Each source is a queue of its documents in an order shuffled by a seeded digest, run through up to three
 times. A document's virtual finish time is the cumulative size of its queue up to its end, divided by the
-source's target. The mix takes entries in ascending finish time until the budget is used up.
+source's target: the mix is all queues' entries in ascending finish time, up to where the budget ends.
+
+The targets add up to the budget, and until a queue has reached its target it is served at a rate in proportion
+to it, so the whole budget has been served at virtual time 1: that is where the mix is cut off. The entry of
+each source that is being served then is taken if at least half of it has been, so every source ends as near
+to its target as whole documents allow, however large they are.
 
 Nothing sorts a whole source in one task: the order within a source is cut into ranges of the digest, the
-ranges' sums are accumulated, and windows run within ranges only. The cut-off is found the same way: finish
-times are cut into narrow ranges, and only the range in which the budget ends is sorted.
+ranges' sums are accumulated, and windows run within ranges only.
 """
 
 from __future__ import annotations
@@ -14,13 +18,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, staged
+from .common import maybe_broadcast, staged, unused
 
 #: Times that a document may be taken; rows that a range of the order holds on average, but at most so many
-#: ranges: what is kept for each range passes through one task.
-REPEATS, RANGE_ROWS, MOST_RANGES = 3, 2000, 1 << 17
+#: ranges in all, as a source's sums of ranges pass through one task. At 100 TB (some 5e10 rows) a range then has
+#: some 400,000 thin rows (about 40 MB), sorted, and spilled if need be, by one task.
+REPEATS, RANGE_ROWS, MOST_RANGES = 3, 500, 1 << 17
 SEED = "mix-1"
-MOST_FINISH = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -52,14 +56,19 @@ def _keys(id_col: str, source_col: str, seed: str) -> tuple[F.Column, F.Column]:
     return key, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
+def _served(end: F.Column, size: F.Column, k: int) -> F.Column:
+    """Whether the k-th taking of an entry is at least half served at virtual time 1."""
+    return 2 * (F.lit(k) * F.col("source_size") + end) - size <= 2 * F.col("target")
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, repeats: int = REPEATS) -> DataFrame:
-    """For every row: id, key (of its source), digest, size, source_size, target and times, how often the mix takes it.
+    """For every row: id, key (of its source), digest, size, source_size, target, times (how often the mix takes
+    it) and finish, the virtual finish time of its first taking, null if it is never taken.
 
     A null source is the last of the sources. Texts without words, null ones too, have size 0 and are taken 0
     times; if there are no words at all, nothing is taken. Repeated rows are separate entries; entries that
-    agree in everything that orders them are alike, so reruns agree. The mix ends at finish time MOST_FINISH
-    even where single documents are so much larger than targets that the budget isn't used up by then.
-    Other columns are not looked at. An empty table gives an empty result.
+    agree in everything that orders them are alike, so reruns agree. Rows that share an id share a place in the
+    shuffled order, and so a task. Other columns are not looked at. An empty table gives an empty result.
     """
     key, digest = _keys(id_col, source_col, seed)
     thin = staged(docs.select(F.col(id_col).alias("id"), key.alias("key"), words(F.col(text_col)).alias("size"), digest.alias("digest")), "sizes")
@@ -72,55 +81,44 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     bases = sums.select("key", "cut", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("base")).join(maybe_broadcast(goals, 100), "key")
     within = Window.partitionBy("key", "cut").orderBy("digest", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     ends = placed.withColumn("end", F.sum("size").over(within)).join(maybe_broadcast(staged(bases, "bases"), 120), ["key", "cut"])
-    ends = staged(ends.select("id", "key", "size", "digest", "source_size", "target", (F.col("base") + F.col("end")).alias("end")), "ends")
-    finish = [F.try_divide(F.lit(k) * F.col("source_size") + F.col("end"), F.col("target")) for k in range(repeats)]
-
-    # Every entry's place in the order of the mix, and the ranges of finish times before the budget ends.
-    place = ["finish", "key", "digest", "id"]
-    entry = F.explode(F.array(*[F.struct(f.alias("finish"), "key", "digest", "id", "size") for f in finish])).alias("e")
-    slot = F.floor(F.col("finish") * (4 * ranges))
-    entries = ends.filter("size > 0").select(entry).select("e.*").filter(F.col("finish") < MOST_FINISH).withColumn("slot", slot)
-    filled = staged(entries.groupBy("slot").agg(F.sum("size").alias("sum")), "filled")
-    budget = goals.agg(F.sum("source_size")).first()[0] or 0
-    upto = filled.select("slot", F.sum("sum").over(Window.orderBy("slot")).alias("upto"))
-    last, used = upto.filter(F.col("upto") <= budget).agg(F.max("slot"), F.max("upto")).first()
-    crossed = filled.filter(F.col("slot") > (-1 if last is None else last)).agg(F.min("slot")).first()[0]
-    running = Window.orderBy(*place, "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = entries.filter(F.col("slot") == (-1 if crossed is None else crossed)).withColumn("upto", F.lit(used or 0) + F.sum("size").over(running))
-    end = edge.filter(F.col("upto") <= budget).agg(F.max(F.struct(*place))).first()[0]
-    if end is not None:
-        stop = F.struct(*[F.lit(v).cast(edge.schema[c].dataType).alias(c) for c, v in zip(place, end, strict=True)])
-        taken = [F.struct(f.alias("finish"), "key", "digest", "id") <= stop for f in finish]
-    elif last is not None:
-        taken = [F.floor(f * (4 * ranges)) <= last for f in finish]
-    else:
-        taken = []
-    times = sum((F.when(F.col("size") > 0, F.coalesce(t, F.lit(False))).otherwise(False).cast("int") for t in taken), F.lit(0))
-    return ends.select("id", "key", "digest", "size", "source_size", "target", times.cast("int").alias("times"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, repeats: int = REPEATS) -> DataFrame:
+    end = F.col("base") + F.col("end")
+    times = sum((_served(end, F.col("size"), k).cast("int") for k in range(repeats)), F.lit(0))
+    times = F.when((F.col("size") > 0) & F.col("target").isNotNull(), times).otherwise(0).cast("int")
+    finish = F.when(times > 0, F.try_divide(end, F.col("target")))
+    return ends.select("id", "key", "digest", "size", "source_size", "target", times.alias("times"), finish.alias("finish"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, repeats: int = REPEATS, ordered: bool = False) -> DataFrame:
     """docs, all columns, each row as often as the mix takes it.
 
     What a source's queue gives in each round ends at one place in its shuffled order, so a row needs only its
-    source's places to know how often it is taken: texts don't move. Rows that repeat an id, source and size
-    share the most of their times.
+    source's places to know how often it is taken: texts don't move. With ordered=True they do: the rows come
+    range-sorted by virtual finish time, as far as their source's first round tells it, so that every stretch of
+    the result has the sources in proportion. Rows that repeat an id, source and size share the most of their
+    times. An empty table gives an empty result.
     """
     key, digest = _keys(id_col, source_col, seed)
     place = F.struct("digest", "id", "size")
-    ends = [F.max(F.when(F.col("times") > k, place)).alias(f"__mix_end{k}") for k in range(repeats)]
-    rows = plan(docs, id_col, text_col, source_col, seed, repeats).groupBy(F.col("key").alias("__mix_key")).agg(*ends)
-    rows = staged(rows, "queue-ends")
+    ends = [F.max(F.when(F.col("times") > k, place)).alias(f"end{k}") for k in range(repeats)]
+    planned = plan(docs, id_col, text_col, source_col, seed, repeats)
+    rows = staged(planned.groupBy("key").agg(F.struct(*ends, F.max(F.try_divide("source_size", "target")).alias("round")).alias("queue")), "queue-ends")
+    at, of, source, queue, turn = (unused(docs, f"mix_{n}") for n in ("at", "of", "source", "queue", "turn"))
     mine = F.struct(digest.alias("digest"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("size"))
-    met = docs.withColumn("__mix_at", mine).withColumn("__mix_source", key).join(maybe_broadcast(rows, 400), F.col("__mix_source") == F.col("__mix_key"))
-    times = sum((F.coalesce(F.col("__mix_at") <= F.col(f"__mix_end{k}"), F.lit(False)).cast("int") for k in range(repeats)), F.lit(0))
-    taken = met.withColumn("__mix_times", F.when(F.col("__mix_at.size") > 0, times).otherwise(0)).filter("__mix_times > 0")
-    return taken.withColumn("__mix_time", F.explode(F.sequence(F.lit(1), "__mix_times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = rows.select(F.col("key").alias(source), F.col("queue").alias(queue))
+    met = docs.withColumns({at: mine, of: key}).join(maybe_broadcast(rows, 400), F.col(of) == F.col(source))
+    times = sum((F.coalesce(F.col(at) <= F.col(f"{queue}.end{k}"), F.lit(False)).cast("int") for k in range(repeats)), F.lit(0))
+    times = F.when(F.col(f"{at}.size") > 0, times).otherwise(0)
+    taken = met.withColumn(turn, F.explode(F.filter(F.sequence(F.lit(0), times), lambda k: k > 0)))
+    if ordered:
+        # Digests are even over a source, so a digest's share of their range is near its share of the queue.
+        share = F.conv(F.substring(f"{at}.digest", 1, 8), 16, 10).cast("double") / 2**32
+        taken = taken.orderBy((F.col(turn) - 1 + share) * F.col(f"{queue}.round"), f"{at}.digest")
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "finish")
 
 
 OP4_SQL = r"""
@@ -142,11 +140,8 @@ g AS (
 e AS (
   SELECT t.*, source_size, target, sum(size) OVER (PARTITION BY t.key ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS ended
   FROM t JOIN g USING (key)),
-f AS (
-  SELECT doc_id, key, digest, size, (k * source_size + ended)::DOUBLE / target AS finish FROM e, (VALUES (0), (1), (2)) AS v(k) WHERE size > 0),
-o AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, key, digest, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM f WHERE finish < 4),
-n AS (SELECT doc_id, key, size, count(*) AS times FROM o WHERE upto <= (SELECT sum(size) FROM t) GROUP BY ALL)
-SELECT e.doc_id, e.size, e.source_size, e.target, (coalesce(n.times, 0) * e.size)::BIGINT AS taken
-FROM e LEFT JOIN n ON e.doc_id IS NOT DISTINCT FROM n.doc_id AND e.key = n.key AND e.size = n.size
+n AS (
+  SELECT *, CASE WHEN size > 0 THEN (2 * ended - size <= 2 * target)::INT + (2 * (source_size + ended) - size <= 2 * target)::INT + (2 * (2 * source_size + ended) - size <= 2 * target)::INT ELSE 0 END AS times
+  FROM e)
+SELECT doc_id, size, source_size, target, (times * size)::BIGINT AS taken, CASE WHEN times > 0 THEN ended::DOUBLE / target END AS finish FROM n
 """
