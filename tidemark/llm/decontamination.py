@@ -5,6 +5,9 @@ placeholders. A capitalised word that opens a sentence may be a name or not: its
 Windows of five such tokens are hashed and joined between documents and benchmark items. What the placeholders
 stand for must be replaced consistently along a run of matches, so a question that was asked again with other
 numbers is caught and a chance likeness of templates is not.
+
+An item without such windows, as it is too short or hasn't enough words, is looked for as it stands: by literal
+windows of five tokens or, if it has fewer, by all its tokens, where they are whole sentences of a document.
 """
 
 from collections.abc import Iterator
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .common import maybe_broadcast, ragged, slices, small_batches, split_words, staged
+from .common import maybe_broadcast, ragged, slices, small_batches, split_words, spread, staged
 
 WINDOW, COVERAGE = 5, 0.8
 #: Windows with fewer words that aren't placeholders say nothing about their source.
@@ -35,6 +38,8 @@ UNITS = frozenset(
 TOKEN = regex.compile(r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+")
 ENDS = regex.compile(r"[.!?:;…][\"'”’)\]]*$")
 NUM, NAME, UNIT = (np.uint64(xxhash.xxh64_intdigest(f"<{k}>", 1)) for k in ("num", "name", "unit"))
+#: What literal windows hash first, and their mark among the choices of names.
+LITERAL, AS_IT_STANDS = np.uint64(xxhash.xxh64_intdigest("<literal>", 1)), 255
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 IS_NUM, IS_CAP, IS_UNIT, FIRST, LAST_ENDS = 1, 2, 4, 8, 16
 #: Cells of the bitmap that lets only windows with a chance of a match leave their task: half a MB.
@@ -85,11 +90,13 @@ def _packed(words: list[str]) -> list[bytes]:
     return out
 
 
-def windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, callable]:
+def windows(text: pa.Array, literal: tuple[int, ...] = (), whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, callable]:
     """Of every window of all rows: row, position in its row, hash. And a function: the slots of given windows.
 
     Slots are, for each token of a window, what its placeholder stands for, and the empty string for a word. A
     window that holds capitalised words which open sentences comes once for each choice of those that are names.
+    Literal windows of given lengths (at most WINDOW) come besides; shorter ones than WINDOW are whole sentences
+    or, with `whole`, whole rows.
     """
     bounds, index, distinct = split_words(text)
     got = _packed(distinct)
@@ -116,16 +123,13 @@ def windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, callabl
     unit = ((flags & IS_UNIT) > 0) & after_num
     code = np.where(num, NUM, np.where(unit, UNIT, np.where(name, NAME, hashes)))
     slot = num | unit | name
-    if n < WINDOW:
-        none = np.zeros(0, np.int64)
-        return none, none, none, lambda which: []
-    m = n - WINDOW + 1
+    m = max(0, n - WINDOW + 1)
     key, plain = np.zeros(m, np.uint64), np.zeros(m, np.int8)
     for k in range(WINDOW):
         key = (key ^ code[k : k + m]) * MULTIPLIER
         key ^= key >> np.uint64(29)
         plain += ~slot[k : k + m]
-    inside = row[:m] == row[WINDOW - 1 :]
+    inside = row[:m] == row[WINDOW - 1 :][:m]
     good = np.flatnonzero(inside & (plain >= LEAST_WORDS))
     # An item begins a sentence where the document may not: then its first word looks like a name.
     head = np.flatnonzero(inside & name[:m] & (plain + 1 >= LEAST_WORDS))
@@ -148,6 +152,23 @@ def windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, callabl
             named = (named ^ (NAME if chosen >> k & 1 else code[which + k])) * MULTIPLIER
             named ^= named >> np.uint64(29)
         forms.append((which, named, chosen))
+    closes = np.ones(n, bool)
+    closes[:-1] = opens[1:] | (row[1:] != row[:-1])
+    for size in literal:
+        many = max(0, n - size + 1)
+        fits = row[:many] == row[size - 1 :][:many]
+        if whole:
+            each_row = np.diff(per_row)[row[:many]]
+            fits &= each_row == size if size < WINDOW else each_row >= size
+        elif size < WINDOW:
+            fits &= opens[:many] & closes[size - 1 :][:many]
+        which = np.flatnonzero(fits)
+        as_is = np.full(len(which), LITERAL)
+        for k in range(size):
+            as_is = (as_is ^ hashes[which + k]) * MULTIPLIER
+            as_is ^= as_is >> np.uint64(29)
+        forms.append((which, as_is, AS_IT_STANDS))
+    sizes = np.concatenate([np.full(len(w), WINDOW) for w, _, _ in forms[: len(forms) - len(literal)]] + [np.full(len(w), z) for (w, _, _), z in zip(forms[len(forms) - len(literal) :], literal, strict=True)])
     is_name = np.ones(sum(len(w) for w, _, _ in forms), bool)
     is_name[len(good) : len(good) + len(head)] = False
     chosen = np.concatenate([np.full(len(w), c, np.uint8) for w, _, c in forms])
@@ -158,12 +179,12 @@ def windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, callabl
         nth = at - starts[owner]
         string = lambda t: _tokens(distinct[owner[t]])[nth[t]].lower()
         filled = lambda w, k: PERHAPS + string(good[w] + k) if int(chosen[w]) >> k & 1 else string(good[w] + k) if slot[good[w] + k] and (k or is_name[w]) else ""
-        return [[filled(w, k) for k in range(WINDOW)] for w in which]
+        return [[""] * int(sizes[w]) if chosen[w] == AS_IT_STANDS else [filled(w, k) for k in range(WINDOW)] for w in which]
 
     return row[good], good - per_row[row[good]], key.view(np.int64), slots
 
 
-def template_windows(table: DataFrame, id_col: str, text_col: str, only: np.ndarray | None = None) -> DataFrame:
+def template_windows(table: DataFrame, id_col: str, text_col: str, only: np.ndarray | None = None, literal: tuple[int, ...] = (), whole: bool = False) -> DataFrame:
     """(id, at, key, slots): the windows of every row's text; only those whose cell is set, if a bitmap is given."""
     small_batches(table.sparkSession)
     thin = table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -171,7 +192,7 @@ def template_windows(table: DataFrame, id_col: str, text_col: str, only: np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            row, at, key, slots = windows(batch.column("text"))
+            row, at, key, slots = windows(batch.column("text"), literal, whole)
             which = np.arange(len(key))
             if sent is not None:
                 cell = key & (CELLS - 1)
@@ -182,7 +203,7 @@ def template_windows(table: DataFrame, id_col: str, text_col: str, only: np.ndar
                     [batch.column("id").take(pa.array(row[w])), pa.array(at[w]), pa.array(key[w]), pa.array(slots(w), pa.list_(pa.string()))], names=["id", "at", "key", "slots"]
                 )
 
-    return thin.mapInArrow(run, thin.select("id").schema.add("at", "long").add("key", "long").add("slots", ArrayType(StringType())))
+    return spread(thin, "text").mapInArrow(run, thin.select("id").schema.add("at", "long").add("key", "long").add("slots", ArrayType(StringType())))
 
 
 def cells_of(items: DataFrame) -> np.ndarray:
@@ -209,13 +230,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     which each filled slot of the item is always replaced by one and the same value; `changed` says that some
     value differs. A position occurs if any of its forms does; of several, the one with the fewest words taken
     for names counts. A word that opens a sentence is not taken for a name where that would contradict the rest
-    of the run. Items of fewer than five words, or of placeholders only, have no windows and match
-    nothing, nor do null or empty texts. Rows that share an id are judged together; copies of an item are
-    items of their own. Other columns are not looked at. Empty tables give an empty result.
+    of the run. Items of fewer than five words, or of placeholders only, are looked for as they stand; those of
+    fewer than five must be whole sentences of the document. Null texts, and texts without words, match nothing.
+    Rows that share an id are judged together, also those without one; copies of an item are items of their own.
+    Very long texts are read whole. Other columns are not looked at. Empty tables give an empty result.
     """
-    items = staged(template_windows(benchmark, item_col, text_col), "items").select(F.col("id").alias("item"), F.col("at").alias("item_at"), "key", F.col("slots").alias("item_slots"))
+    usual = staged(template_windows(benchmark, item_col, text_col), "items")
+    others = benchmark.join(usual.select(F.col("id").alias("__has")).distinct(), F.col(item_col).eqNullSafe(F.col("__has")), "left_anti")
+    short = staged(template_windows(others, item_col, text_col, None, tuple(range(1, WINDOW + 1)), True), "short-items")
+    literal = tuple(sorted(r.size for r in short.select(F.size("slots").alias("size")).distinct().collect()))
+    items = usual.unionAll(short).select(F.col("id").alias("item"), F.col("at").alias("item_at"), "key", F.col("slots").alias("item_slots"))
     totals = items.groupBy("item").agg(F.countDistinct("item_at").alias("n_windows"))
-    hits = staged(template_windows(docs, id_col, text_col, cells_of(items)), "windows")
+    hits = staged(template_windows(docs, id_col, text_col, cells_of(items), literal), "windows")
     met = hits.join(maybe_broadcast(items, 200), "key")
     is_guess = lambda p: p["item_slots"].startswith(PERHAPS) | p["slots"].startswith(PERHAPS)
     bare = lambda c: F.ltrim(c, F.lit(PERHAPS))
@@ -242,7 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs, all columns, without the documents that hold an item."""
+    """docs, all columns, without the documents that hold an item. An empty table gives an empty result."""
     gone = staged(contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("id")).distinct(), "contaminated")
     return docs.join(maybe_broadcast(gone, 24), F.col(id_col).eqNullSafe(gone.id), "left_anti")
 
