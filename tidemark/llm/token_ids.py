@@ -6,6 +6,7 @@ bits, marks). `bits` are the block's ids in a canonical length-limited Huffman c
 the whole table, `marks` the bit offsets of every 256th id, so decoding can begin at any of them.
 """
 
+import json as jsons
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -35,16 +36,35 @@ SLICE_BYTES = 6 << 20
 #: apostrophes, which begin words of their own, and only letters whose lower case is one letter.
 SIMPLE = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!#$%&()*+,./:;=?@|\[\]{}~_^-]*)")
 END_OF_WORD = "</w>"
+#: What a tokenizer must do for its ids to be those of words, and of the pieces of SIMPLE words.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def by_words(json: str) -> bool:
+    """Whether a tokenizer drops white space, cuts at it, and ends words with END_OF_WORD, as the shortcuts need."""
+    found = jsons.loads(json)
+    return all(found.get(k) == v for k, v in BY_WORDS.items()) and found["model"].get("end_of_word_suffix") == END_OF_WORD
 
 
 class Encoder:
-    """Encodes texts as a tokenizer does without special tokens, looking up words that it has met before.
+    """Encodes texts as a tokenizer does without special tokens.
 
-    The tokenizer must cut texts at white space, and drop it. Then a text's ids are those of its words.
+    Where the tokenizer works by_words(), words that were met before are looked up; any other encodes whole texts.
     """
 
     def __init__(self, json: str):
         self.tokenizer = Tokenizer.from_str(json)
+        self.by_words = by_words(json)
         self.known: dict[str, bytes] = {}  # little-endian 32-bit ids
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -86,6 +106,10 @@ class Encoder:
 
     def texts(self, text: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of every text, and all ids one after the other."""
+        if not self.by_words:
+            whole = self.each([t or "" for t in text.to_pylist()])
+            ns, got = np.fromiter(map(len, whole), np.int64, len(whole)) >> 2, np.frombuffer(b"".join(whole), "<u4")
+            return self.ended(ns, got, end_id)
         bounds, index, distinct = split_words(text)
         ids = self.words(distinct)
         lens = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
@@ -93,7 +117,10 @@ class Encoder:
         each = lens[index]
         ends = np.concatenate(([0], np.cumsum(each)))[bounds]
         ns = np.diff(ends)
-        got = flat[ragged((np.cumsum(lens) - lens)[index], each)]
+        return self.ended(ns, flat[ragged((np.cumsum(lens) - lens)[index], each)], end_id)
+
+    def ended(self, ns: np.ndarray, got: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """With the end id after every text's ids."""
         if end_id is None:
             return ns, got
         out = np.empty(len(got) + len(ns), np.uint32)
@@ -120,8 +147,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     """Encodes every text and writes the ids below path, which is returned.
 
     Null and empty texts have the end id only. Rows that repeat an id follow each other in the order of their
-    texts; a null id comes first. A document's ids stay in one block, however long. Other columns are not
-    looked at. An empty table gives an empty set.
+    texts; a null id comes first. A document's ids stay in one block, however long. Any tokenizer of the
+    tokenizers library will do; only one that works by_words() is fast. Other columns are not looked at. An
+    empty table gives an empty set.
     """
     spark = docs.sparkSession
     small_batches(spark)
