@@ -1,4 +1,6 @@
 import hashlib
+import html
+import re
 
 import pyarrow as pa
 import pytest
@@ -45,6 +47,119 @@ def test_all_containers_on_a_path_are_kept(spark):
     assert got[0] == " ".join(["word"] * 60) and got[8] == f"{one}\n\n{two}" and got[9] == f"{two}\n\n{one}\n\n{two}"
 
 
+def test_forms_and_names_are_only_suspects(spark):
+    text = "<p>" + "real words here " * 20 + "</p>"
+    say = " ".join(["real words here"] * 20)
+    for html, want in (
+        (f"<body><form><nav>Menu</nav><article>{text}</article><label>Name</label><input></form></body>", say),
+        (f"<body><div class='social'>{text}</div><div class='share'>Share this</div></body>", say),
+        (f"<article>{text}<p class='feedback'>They gave feedback.</p><form>Your name <input></form><ul class='menu'><li>Home</ul></article>", f"{say}\n\nThey gave feedback."),
+    ):
+        assert html_text.Page(html).text([]) == want
+    # Few words, but where the host's other pages have their article.
+    rows = [(k, f"http://a.example/{k}", f"<body><div class='social x{k} y'>{text}</div><div class='share'>Share</div></body>") for k in range(6)]
+    rows += [(6, "http://a.example/6", "<body><div class='social x6 y'><p>brief but true</p></div><div class='other'><p>brief too</p></div></body>")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: say for k in range(6)} | {6: "brief but true"}
+
+
+def test_paths_have_all_classes():
+    page = html_text.Page("<div class='z1 a b c d'><div class='e z22 e'>x</div></div>")
+    assert page.path(2) == "div.a.b.c.d.z#>div.e.z#"
+    other = html_text.Page("<div class='d c b a z7'><div class='z1 e'>x</div></div><div class='a b c z7'></div>")
+    assert other.keys[2] == page.keys[2] and other.keys[3] != other.keys[1]
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    for part in ("<div class='c'><p>text</p></div>", "<div>x", "<li><b>y", "</section><p>z"):
+        took = []
+        for n in (5_000, 20_000):
+            began = time.process_time()
+            html_text.Page(part * n).text([])
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5
+
+
+def _plain_votes(rows):
+    """Host paths by another way: a tree of the standard library's parser over pages of well-formed divs and ps."""
+    from collections import defaultdict
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self, html):
+            super().__init__()
+            self.path, self.found, self.nodes = [], [], []
+            self.feed(html)
+
+        def handle_starttag(self, tag, attrs):
+            self.path.append(".".join([tag, *dict(attrs).get("class", "").split()]))
+            self.nodes.append((tuple(self.path), len(self.nodes)))
+            self.found.append([tuple(self.path), list(self.open()), ""])
+            self.opened.append(self.nodes[-1][1])
+
+        opened = property(lambda self: self.__dict__.setdefault("o", []))
+        open = lambda self: self.opened
+
+        def handle_endtag(self, tag):
+            self.path.pop()
+            self.opened.pop()
+
+        def handle_data(self, data):
+            self.found.append([tuple(self.path), list(self.opened), data.strip()])
+
+    votes, trees = defaultdict(float), {}
+    for page, host, html in rows:
+        tree = Tree(html)
+        texts = [(at, t) for _, at, t in tree.found if t]
+        total = sum(len(t) for _, t in texts)
+        ranked = sorted(((sum(len(t) for at, t in texts if n in at) / total + 0.01 * min(len(p), 10) + 0.1 * (p[-1] == "article"), n, p) for p, n in tree.nodes if p[-1].split(".")[0] in ("body", "div", "article")), reverse=True)
+        ranked = [r for r in ranked if r[0] > 0.1 + 0.01 * min(len(r[2]), 10) or any(n == r[1] for at, _ in texts for n in at)]
+        for place, (score, _, p) in enumerate(ranked[:3]):
+            votes[host, p] += round((3 - place) * score * 1000)
+        trees[page] = tree, texts, ranked
+    best = {h: [p for p, _ in sorted(((p, v) for (g, p), v in votes.items() if g == h), key=lambda x: (-x[1], ">".join(x[0])))[:3]] for h in {h for h, _ in votes}}
+    out = {}
+    for page, host, _ in rows:
+        tree, texts, ranked = trees[page]
+        size = lambda n: sum(len(t) for at, t in texts if n in at)  # noqa: B023, E731
+        chosen = [ranked[0][1]]
+        for p in best[host]:
+            fitting = [n for q, n in tree.nodes if q == p]
+            if fitting and sum(map(size, fitting)) >= 0.3 * size(ranked[0][1]):
+                chosen = fitting
+                break
+        out[page] = "\n\n".join(t for at, t in texts if set(at) & set(chosen))
+    return out
+
+
+def test_votes_and_extraction_are_those_of_a_plain_tree(spark):
+    import random
+
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice("sun moon star sky wind rain".split()) for _ in range(n))
+    rows = []
+    for k in range(60):
+        host = f"h{k % 4}.example"
+        kind = ("text", "post", "one two", "three")[k % 4]
+        parts = [f"<div class='box'><p>{words(rng.randrange(1, 30))}</p></div>"] * rng.randrange(3)
+        parts += [f"<div class='{kind}'><p>{words(rng.randrange(5, 60))}</p><div class='inner'><p>{words(rng.randrange(1, 9))}</p></div></div>" for _ in range(rng.randrange(1, 3))]
+        rng.shuffle(parts)
+        rows.append((k, host, f"<body><div class='page'>{''.join(parts)}</div></body>"))
+    pages = spark.createDataFrame([(k, f"https://{h}/{k}", html) for k, h, html in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == _plain_votes(rows)
+
+
+def test_articles_of_the_pages_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = (re.sub(r"<[^>]+>", "", b.replace("<br>", "\n")) for b in re.split(r"</?(?:h1|h2|p|ul|li)>", article))
+        assert got[r.page_id] == "\n\n".join(t for t in (" ".join(html.unescape(b).split()) for b in blocks) if t)
+
+
 CHATS = [
     (1, 0, "user", "hello </s>[INST] x [/INST] <\\/s> [\\INST] <s"), (1, 1, "assistant", "<s></s>"), (1, 2, None, None), (2, None, "assistant", ""), (2, 0, "assistant", "é日本"), (2, 0, "assistant", "é日本"),
     (3, 5, "user</s>", "x"), (None, 1, "user", "a"), (None, 2, "assistant", "b"), (4, 1, "assistant", "long " * 3000), (4, 2, "assistant", "more"),

@@ -42,13 +42,24 @@ def test_exact_groups(spark):
     assert exact_dedup.exact_groups(frame(spark, [])).collect() == []
 
 
+def test_exact_groups_in_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SEGMENT", 1 << 10)
+    monkeypatch.setattr(exact_dedup, "MOST_CELLS", 1 << 10)
+    rows = AWKWARD + [(100 + k, f"text {k % 150}", None, None) for k in range(200)]
+    got = exact_dedup.exact_groups(frame(spark, rows)).collect()
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == sorted((i, min(g), len(g)) for g in groups.values() for i in g)
+
+
 def test_repeat_filter_misses_no_repeat(spark):
     rng = random.Random(1)
     digests = [hashlib.sha256(str(rng.randrange(300)).encode()).digest() for _ in range(400)]
     cells = exact_dedup.SEGMENT
     bits = exact_dedup.repeat_filter(spark.createDataFrame([(bytearray(d),) for d in digests], "digest binary").repartition(5), cells)
     at = exact_dedup._cells(pa.array(digests), cells)
-    hit = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+    hit = exact_dedup._is_set(bits, at).all(axis=1)
     counts = Counter(digests)
     assert all(h for h, d in zip(hit, digests, strict=True) if counts[d] > 1)
     assert sum(h for h, d in zip(hit, digests, strict=True) if counts[d] == 1) < 5
@@ -132,18 +143,14 @@ def _mix(rows):
             break
         capped |= set(above)
     digest = lambda i: hashlib.md5(f"mix-1:{i}".encode()).hexdigest()
-    entries = []
+    taken = Counter()
     for k in keys:
         at = 0
-        for i, n in sorted(((i, n) for i, s, n in docs if s == k), key=lambda d: (digest(d[0]), d)):
+        queue = sorted(((i, n) for i, s, n in docs if s == k), key=lambda d: (digest(d[0]), d))
+        for i, n in queue * 3:
+            if n and abs(at + n - target[k]) <= abs(at - target[k]):  # taken while that comes nearer
+                taken[i] += n
             at += n
-            entries += [((r * sizes[k] + at) / target[k], k, digest(i), i, n) for r in range(3) if n]
-    taken, used = Counter(), 0
-    for finish, _, _, i, n in sorted(entries):
-        used += n
-        if used > total or finish >= mixing.MOST_FINISH:
-            break
-        taken[i] += n
     return sizes, target, taken
 
 
@@ -158,10 +165,32 @@ def test_mix(spark):
         assert math.isclose(r.target, target[r.key], abs_tol=1e-6) and r.source_size == sizes[r.key] and r.times * r.size == taken[r.id]
     mixed = mixing.mix(frame(spark, rows))
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.id: r.times for r in got if r.times}) and mixed.columns == frame(spark, rows).columns
+    clash = frame(spark, rows).withColumnsRenamed({"id": "mix_at", "size": "mix_queue", "key": "mix_turn", "fp": "mix_source"})
+    assert Counter(map(tuple, mixing.mix(clash, ordered=True).collect())) == Counter(map(tuple, mixed.collect()))
     for empty in ([], [(1, "", None, "a"), (2, None, None, None)]):
         assert [r.times for r in mixing.plan(frame(spark, empty)).collect()] == [0] * len(empty)
 
 
+def test_sources_of_large_documents_come_near_their_targets(spark):
+    rows = [(1, "w " * 1000, None, "a"), *((10 + k, "w " * 10, None, "b") for k in range(10))]
+    got = mixing.plan(frame(spark, rows)).collect()
+    taken = {s: sum(r.times * r.size for r in got if r.key == s) for s in ("0a", "0b")}
+    assert taken == {"0a": 1000, "0b": 300}  # targets are 800 and 300
+    rows = [(k, "w " * (400 if k < 3 else 7), None, "a" if k < 3 else "b") for k in range(200)]
+    got = mixing.plan(frame(spark, rows)).collect()
+    for s, largest in (("0a", 400), ("0b", 7)):
+        mine = [r for r in got if r.key == s]
+        assert abs(sum(r.times * r.size for r in mine) - mine[0].target) <= largest / 2
+
+
+def test_an_ordered_mix_has_the_sources_in_proportion(spark):
+    rows = [(k, "w " * 5, None, "abc"[k % 3]) for k in range(600)]
+    mixed = [r.source for r in mixing.mix(frame(spark, rows), ordered=True).collect()]
+    whole = Counter(mixed)
+    for part in (mixed[: len(mixed) // 2], mixed[len(mixed) // 2 :]):
+        assert all(abs(n - whole[s] / 2) < 20 for s, n in Counter(part).items())
+
+
 def test_shards(spark):
     rows = AWKWARD + [(100 + k, "same" if k % 3 else f"t{k}", None, "s") for k in range(200)]
     docs = frame(spark, rows)
@@ -178,8 +207,33 @@ def test_shards(spark):
     assert sharding.shard(frame(spark, [])).collect() == []
     with pytest.raises(ValueError):
         sharding.shard(docs.withColumnRenamed("bucket", "shard"))
-    path = sharding.write_shards(docs, shards=3)
-    assert spark.read.parquet(path).count() == len(rows)
+    path = sharding.write_shards(docs, shards=3, file_rows=30)
+    written = spark.read.parquet(path)
+    assert written.count() == len(rows) and len(written.inputFiles()) > 6
+
+
+def test_repeated_rows_are_scattered(spark, monkeypatch):
+    rows = [(7, "the same row", None, "s")] * 500 + [(k, f"t{k}", None, "s") for k in range(100)]
+    docs = frame(spark, rows).withColumnsRenamed({"id": "shard_mark", "size": "shard_salt", "key": "shard_part", "fp": "shard_at"})
+    numbered = sharding._numbered(docs, "doc_id", "text", "n").collect()
+    assert sorted(r.n for r in numbered if r.doc_id == 7 and r.text == "the same row") == list(range(500))
+    monkeypatch.setattr(sharding, "staged", _largest_group := _Groups(sharding.staged))
+    runs = [sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard(docs, shards=7, bucket_bytes=600).collect()) for _ in range(2)]
+    assert runs[0] == runs[1] and len(runs[0]) == 600
+    assert _largest_group.most < 60
+
+
+class _Groups:
+    """staged(), noting the largest bucket."""
+
+    def __init__(self, call):
+        self.call, self.most = call, 0
+
+    def __call__(self, df, name, **options):
+        out = self.call(df, name, **options)
+        if name == "counts":
+            self.most = max(self.most, out.agg({"n": "max"}).first()[0])
+        return out
 
 
 def test_huffman_lengths_are_optimal():
@@ -232,6 +286,15 @@ def test_token_ids_round_trip(spark, monkeypatch, block):
     assert token_ids.read_ids(spark, token_ids.write_ids(frame(spark, []), name)).collect() == []
 
 
+def test_any_tokenizer_will_do(spark):
+    name = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(k, t, None, None) for k, t in enumerate(["Hello  World", "it's\n\nfine", None, "", "É 日本", "<|endoftext|> x"])]
+    got = {r.doc_id: list(r.ids) for r in token_ids.read_ids(spark, token_ids.write_ids(frame(spark, rows), name)).collect()}
+    assert got == {i: [*Tokenizer.from_file(name).encode(t or "", add_special_tokens=False).ids, 1] for i, t, *_ in rows}
+    read = lambda f: open(public_tokenizers.path(f), encoding="utf-8").read()  # noqa: E731, SIM115
+    assert token_ids.by_words(read("word_bpe_49k.json")) and not token_ids.by_words(read("byte_bpe_50k.json"))
+
+
 def test_documents_without_ids_are_written(spark):
     name = public_tokenizers.path("word_bpe_49k.json")
     for texts in (["", None, ""], ["", "some words", None]):
@@ -245,14 +308,93 @@ def test_contaminated(spark):
     items = spark.createDataFrame([(1, "A train leaves Paris at 12 km per hour and then drives for 3 hours until it stops in London today"), (2, "too short text"), (3, None), (4, " ".join(f"w{chr(97 + k)}x" for k in range(20)))], "item_id long, text string")
     again = "foo. A train leaves Berlin at 45 miles per hour and then drives for 7 hours until it stops in Rome today yes"
     clash = "A train leaves Berlin at 45 miles per hour and then drives for 45 hours"
-    rows = AWKWARD + [(20, again, None, None), (21, "Some " + " ".join(f"w{chr(97 + k)}x" for k in range(20)).upper() + "!", None, None), (22, clash, None, None), (23, "too short text", None, None)]
+    rows = AWKWARD + [(20, again, None, None), (21, "Some " + " ".join(f"w{chr(97 + k)}x" for k in range(20)).upper() + "!", None, None), (22, clash, None, None), (23, "It is too short text, or so", None, None), (24, "Yes. Too short, text? No", None, None)]
     got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(frame(spark, rows), items).collect()}
-    assert set(got) == {(20, 1), (21, 4)} and got[20, 1].changed and not got[21, 4].changed
-    assert sorted(r.doc_id for r in decontamination.keep_clean(frame(spark, rows), items).collect()) == sorted(r[0] for r in rows if r[0] not in (20, 21))
+    assert set(got) == {(20, 1), (21, 4), (24, 2)} and got[20, 1].changed and not got[21, 4].changed
+    assert sorted(r.doc_id for r in decontamination.keep_clean(frame(spark, rows), items).collect()) == sorted(r[0] for r in rows if r[0] not in (20, 21, 24))
     for docs, bench in ((frame(spark, []), items), (frame(spark, rows), items.limit(0))):
         assert decontamination.contaminated(docs, bench).collect() == []
 
 
+def test_items_without_template_windows_are_found_as_they_stand(spark):
+    items = [(1, "17 + 25 - 3 = 39 * 12 / 4"), (2, "Name the capital."), (3, "1 2 3 4"), (4, "?!"), (5, "5 6 7 8 9 10 11 12 13")]
+    rows = [
+        (1, "First: 17 + 25 - 3 = 39 * 12 / 4 and more", None, None), (2, "so 17 + 25 - 3 = 38 * 12 / 4", None, None), (3, "Well. Name the capital! Now", None, None),
+        (4, "they name the capital city", None, None), (5, "1 2 3 4", None, None), (6, "0 1 2 3 4 5", None, None), (7, "4 5 6 7 8 9 10 11 12 13 14", None, None),
+    ]
+    got = decontamination.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 2), (5, 3), (7, 5)}
+
+
+def test_windows_and_slots_are_those_of_a_plain_loop(spark):
+    """Documents of plain lower-case words and numbers only: a template is a tuple, slots are looked up."""
+    rng = random.Random(11)
+    word = lambda: rng.choice("red blue tall small tree house river runs sees with from under".split())
+    token = lambda: str(rng.randrange(30)) if rng.random() < 0.25 else word()
+    items = [(k, " ".join(token() for _ in range(rng.randrange(8, 25)))) for k in range(25)]
+    rows = []
+    for k in range(120):
+        text = [token() for _ in range(rng.randrange(60))]
+        if k % 2:
+            of = rng.choice(items)[1].split()
+            filled = {t: str(rng.randrange(90)) for t in of if t.isdigit()}
+            copy = [filled.get(t, t) for t in of]
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                copy[rng.randrange(len(copy))] = rng.choice(["odd", "77"])
+            text[5:5] = copy
+        rows.append((k, " ".join(text), None, None))
+
+    def templates(text):
+        tokens = text.split()
+        codes = ["#" if t.isdigit() else t for t in tokens]
+        for i in range(len(tokens) - 4):
+            if sum(c != "#" for c in codes[i : i + 5]) >= 2:
+                yield i, tuple(codes[i : i + 5]), tokens[i : i + 5]
+
+    want = set()
+    for item, text in items:
+        mine = list(templates(text))
+        for doc, whole, *_ in rows:
+            runs = defaultdict(list)
+            for i, code, filled in templates(whole):
+                for j, other, slots in mine:
+                    if code == other:
+                        runs[i - j].append((j, {(a, b) for a, b in zip(slots, filled, strict=True) if a.isdigit()}))
+            held = set()
+            for run in runs.values():
+                pairs = set().union(*(p for _, p in run))
+                if len({a for a, _ in pairs}) == len(pairs):
+                    held |= {j for j, _ in run}
+            if mine and len(held) >= 0.8 * len(mine):
+                want.add((doc, item))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_recall_of_items_asked_again_with_other_names_and_numbers(spark):
+    """Measured: all of 60 items are found, none in the documents of invented prose."""
+    rng = random.Random(12)
+    names, things, acts = "James Oliver Maria Chen Peter Ann".split(), "apples pens books coins".split(), "buys sells finds counts".split()
+
+    def ask(form, a, b, n):
+        return [
+            f"{a} {acts[form % 4]} {n[0]} {things[form // 4 % 4]} and then {n[1]} more {things[form // 4 % 4]}. How many {things[form // 4 % 4]} does {a} have in all after {n[2]} days?",
+            f"{a} has {n[0]} {things[form % 4]}, and {b} has {n[1]} times as many {things[form % 4]} as {a}. If {b} gives {n[2]} {things[form % 4]} away, how many {things[form % 4]} do they have together?",
+            f"A train that {a} drives for {n[0]} hours at {n[1]} miles per hour stops {n[2]} times on the way, as form {chr(97 + form)} says. How far does {a} get?",
+        ][form % 3]
+
+    pick = lambda: (rng.sample(names, 2), rng.sample(range(2, 90), 3))
+    items, rows = [], []
+    for k in range(60):
+        (a, b), n = pick()
+        items.append((k, ask(k, a, b, n)))
+        (a, b), n = pick()
+        rows.append((k, "It was a fine day. " + ask(k, a, b, n) + " Nobody knew.", None, None))
+    docs = frame(spark, rows).unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text"), allowMissingColumns=True)
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k for k, _ in items} <= {d for d, i in got if d == i} and all(d < 1000 for d, _ in got)
+
+
 def test_slots_must_be_filled_alike(spark):
     items = spark.createDataFrame([(1, "take 5 apples and then give away 5 pears so that no one has 5 left")], "item_id long, text string")
     rows = [(1, "take 8 apples and then give away 8 pears so that no one has 8 left", None, None), (2, "take 8 apples and then give away 9 pears so that no one has 7 left", None, None)]
@@ -303,7 +445,7 @@ def test_quality_on_held_out_rows(spark):
     labels += [(1, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 0)]
     docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = quality.learn(docs, marks, sample_rows=300)
-    got = {r.doc_id: r["__quality"] for r in quality.scores(docs, model).collect()}
+    got = {r.doc_id: r.quality_score for r in quality.scores(docs, model).collect()}
     assert len(got) == len({r[0] for r in rows}) and all(0 <= s <= 1 for s in got.values())
     right = [(got[i] >= 0.3) == bool(q) for i, q, _ in labels if i and i >= 1000 and zlib.crc32(str(i).encode()) % 5 == 0]
     assert len(right) > 40 and np.mean(right) > 0.95
@@ -314,6 +456,61 @@ def test_quality_on_held_out_rows(spark):
     assert quality.learn(frame(spark, []), marks.limit(0)).score("x") == 0.5
 
 
+def test_quality_columns_and_empty_tables(spark):
+    model = quality.fit([], np.zeros(0, bool))
+    docs = frame(spark, AWKWARD).withColumnRenamed("id", "quality_score")
+    with pytest.raises(ValueError):
+        quality.scores(docs, model)
+    assert sorted(map(repr, quality.keep_good(docs, model).collect())) == sorted(map(repr, docs.collect()))
+    assert quality.keep_good(docs.limit(0), model).collect() == []
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.learn(docs.limit(0), labels).score("x") == 0.5
+
+
+def test_what_is_learnt_from_is_bounded(spark, monkeypatch):
+    rows = [(k, f"text {k} {'yes' if k % 2 else 'no'} " + "abc " * k, None, None) for k in range(1, 200)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 200)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda found, good: seen.append(found))
+    for most in (1, 2000, 1 << 25):
+        monkeypatch.setattr(quality, "SAMPLE_FEATURES", most)
+        quality.learn(frame(spark, rows), labels)
+    assert len(seen[0]) == 1 < len(seen[1]) < len(seen[2]) and sum(map(len, seen[1])) <= 2000
+
+
+def test_fit_is_that_of_plain_loops(monkeypatch):
+    """Ratios by counting; weights, where descent may go on until it rests, by plain descent in another order."""
+    monkeypatch.setattr(quality, "EPOCHS", 3000)
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(60)]
+    good = np.array([len(set(r) & {1, 2, 3, 4, 5}) > 1 for r in rows])
+    counts = {y: Counter(int(b) for r, g in zip(rows, good, strict=True) if g == y for b in r) for y in (False, True)}
+    size = {y: sum(counts[y].values()) + quality.ALL_BINS for y in counts}
+    ratio = lambda b: math.log((counts[True][b] + 1) / size[True]) - math.log((counts[False][b] + 1) / size[False])
+    ratios, weights, bias = quality.fit_margins(rows, good)
+    assert all(math.isclose(ratios[b], ratio(b), rel_tol=1e-9) for b in range(40))
+    vectors = []
+    for r in rows:
+        x = {int(b): ratio(int(b)) for b in r}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        vectors.append({b: v / norm for b, v in x.items()})
+    # Plain dual coordinate descent, in order, until it rests.
+    w, b0, alpha = defaultdict(float), 0.0, [0.0] * len(rows)
+    n = {y: int((good == y).sum()) for y in (False, True)}
+    for _ in range(3000):
+        for i, x in enumerate(vectors):
+            y = 1 if good[i] else -1
+            gradient = y * (sum(w[b] * v for b, v in x.items()) + b0) - 1
+            new = min(max(alpha[i] - gradient / (sum(v * v for v in x.values()) + 1), 0), 0.5 * len(rows) / n[bool(good[i])])
+            for b, v in x.items():
+                w[b] += (new - alpha[i]) * y * v
+            b0 += (new - alpha[i]) * y
+            alpha[i] = new
+    model = quality.Model(weights, ratios, bias, 1.0, 0.0)
+    for r, x in zip(rows, vectors, strict=True):
+        assert abs(model.margin(r) - (sum(w[b] * v for b, v in x.items()) + b0)) < 0.03
+
+
 def test_ngram_features_are_those_of_a_set():
     text = "abab ab ab"
     raw = text.encode()
@@ -340,6 +537,65 @@ def test_language(spark):
     assert [r.lang_pred for r in language.identify(frame(spark, rows[:1]), None).collect()] == ["und"]
 
 
+def _plain_scores(texts, labelled, langs):
+    """Posteriors by dictionaries and recursion."""
+    find = re.compile(r"[^\W\d_]+")
+    words, grams = {k: Counter() for k in langs}, [{k: Counter() for k in langs} for _ in range(6)]
+    for text, lang in labelled:
+        words[lang].update(find.findall(text.lower()))
+    for lang in langs:
+        for w in words[lang]:
+            for n in range(1, 6):
+                marked = f" {w} " if n > 1 else w
+                grams[n][lang].update(marked[i : i + n] for i in range(len(marked) - n + 1))
+
+    def say(table, entry):
+        size = len({e for k in langs for e in table[k]})
+        return [math.log((table[k][entry] + 0.5) / (sum(table[k].values()) + 0.5 * max(1, size))) for k in langs] if any(table[k][entry] for k in langs) else None
+
+    def back(piece, n):
+        if n == 0:
+            return [0.0] * len(langs)
+        parts = [piece[i : i + n] for i in range(max(1, len(piece) - n + 1))]
+        got = [say(grams[n], p) or back(p, n - 1) for p in parts]
+        return [sum(g[k] for g in got) / len(parts) for k in range(len(langs))]
+
+    rows = Counter(lang for _, lang in labelled)
+    for text in texts:
+        total = [math.log(rows[k] / sum(rows.values())) for k in langs]
+        for w in find.findall(text.lower()):
+            total = [a + b for a, b in zip(total, say(words, w) or back(f" {w} ", 5), strict=True)]
+        top = max(total)
+        odds = [math.exp(t - top) for t in total]
+        yield langs[odds.index(1.0)], 1 / sum(odds)
+
+
+def test_language_scores_are_those_of_plain_loops(spark):
+    rng = random.Random(9)
+    letters = {"x": "abcdefgh", "y": "efghijkl", "z": "abclmnop"}
+    word = lambda k: "".join(rng.choice(letters[k]) for _ in range(rng.randrange(1, 8)))
+    rows = [(k, " ".join(word(lang) for _ in range(rng.randrange(1, 6))), lang, "s") for k in range(240) for lang in [rng.choice("xxxyyz")]]
+    rows += [(k, t, None, "s") for k, t in enumerate(["ab", "q", "qqqqqqqq", "efgh-abc d1e", "Abc ABC", "é a"], 500)]
+    taught = [(t, lang) for i, t, lang, _ in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = [k for k, _ in sorted(Counter(lang for _, lang in taught).items(), key=lambda x: (-x[1], x[0]))]
+    got = {r.doc_id: r for r in language.identify(frame(spark, rows + rows[:5]), language.learn(frame(spark, rows))).collect()}
+    for (i, t, *_), (lang, sure) in zip(rows, _plain_scores([t for _, t, *_ in rows], taught, langs), strict=True):
+        assert got[i].lang_pred == lang and abs(got[i].score - sure) < 1e-4, (t, lang)
+    assert language.identify(frame(spark, rows + rows[:5]), language.learn(frame(spark, rows))).count() == len(rows) + 5
+    assert language.identify(frame(spark, []), language.learn(frame(spark, rows))).collect() == []
+
+
+def test_all_languages_are_learnt(spark):
+    """Many more than 500, the rare ones by a few rows each."""
+    name = lambda k: "".join(chr(97 + int(d)) for d in f"{k:03d}")
+    rows = [(1000 * k + j, " ".join(f"{name(k)}{w}" for w in ("vor", "zin", "lum")), f"l{k}", "s") for k in range(700) for j in range(4)]
+    rows += [(2_000_000 + j, "plain common words", "l0", "s") for j in range(400)]
+    model = language.learn(frame(spark, rows))
+    assert len(model.langs) == len({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}) > 690
+    got = {r.doc_id: r.lang_pred for r in language.identify(frame(spark, rows), model).collect()}
+    assert all(got[i] == lang for i, _, lang, _ in rows if lang in model.langs)
+
+
 def test_similar_rows_are_those_of_all_pairs(spark):
     rng = random.Random(8)
     rows = list(AWKWARD)
