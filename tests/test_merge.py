@@ -199,3 +199,54 @@ def test_hot_cells_are_reduced_before_the_shuffle(spark):
     log = changes(spark, [put(1, "x", "a", "1")])
     plan = merge.merge(new(spark, 1), log, stamped=False).replica.cells._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+
+
+TOP = (1 << 63) - 101
+
+
+def test_versions_near_the_greatest(spark):
+    a = mutate.from_changes(1, changes(spark, [put(1, "x", "f", "initial", db=TOP), put(2, "y", "f", "other", db=5)]))
+    a, out = mutate.apply_ops(a, spark.createDataFrame([(1, 1, "put", "x", "g", "value", 0)], mutate.OPS_DDL))
+    assert out.first().db_version == TOP + 1
+    merged, last = merge.sync(a, new(spark, 2), 0)
+    assert last == TOP + 1 and {k: v[0] for k, v in cells_of(merged.replica).items()} == {("x", "f"): "initial", ("x", "g"): "value", ("y", "f"): "other"}
+    assert merged.replica.clock > TOP + 1
+
+
+@pytest.mark.parametrize("versions", [[7] * 300, list(range(300)), [TOP - k % 3 for k in range(300)], []])
+def test_a_delta_is_numbered_in_version_order(spark, versions):
+    rows = [put(k, f"r{k}", "c", "v", db=v) for k, v in enumerate(versions)]
+    got = merge.numbered(changes(spark, rows).withColumn("seq", F.lit(None).cast("long")), parts=3).orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(1, len(rows) + 1))
+    assert [r.local_db_version for r in got] == sorted(versions)
+    again = merge.numbered(changes(spark, rows[::-1]).repartition(5), parts=2).orderBy("seq").collect()
+    assert [r.record_id for r in again] == [r.record_id for r in got]
+
+
+def test_rules_meet_deletes(spark):
+    rows = [put(1, "x", "a", "5", cv=1), del_field(2, "x", "a", cv=9), put(3, "x", "a", "7", cv=1), put(4, "y", "a", "9"), del_record(5, "y"), put(6, "y", "a", "99")]
+    weigh = lambda r: -1 if r["value"] is None else int(r["value"])
+    for rule in (merge.Rule(order_key=lambda: [F.coalesce(F.col("value").cast("long"), F.lit(-1))]), merge.Rule(predicate=lambda local, remote: weigh(remote) > weigh(local))):
+        merged = merge.merge(new(spark, 1), changes(spark, rows), rule)
+        assert {k: v[0] for k, v in cells_of(merged.replica).items()} == {("x", "a"): "7"} and set(tombs_of(merged.replica)) == {"y"}
+        assert [r.seq for r in merged.accepted.orderBy("seq").collect()] == [1, 3, 4, 5]
+
+
+def test_clock_can_be_set():
+    assert clock.set_time(4, 9) == 9 and clock.update(4, 9) == 10 and clock.tick(4) == 5
+    with pytest.raises(ValueError):
+        clock.set_time(9, 4)
+
+
+def _scans(frame) -> int:
+    """Scans of files in the plan that ran, but for those of results that were used again."""
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan")
+
+
+def test_written_states_are_read_a_few_times(spark):
+    state = mutate.from_changes(1, changes(spark, random_changes(random.Random(1), 50)))
+    other = mutate.from_changes(2, changes(spark, random_changes(random.Random(2), 60)))
+    after, out = mutate.apply_ops(state, spark.createDataFrame(random_ops(random.Random(3), 40), mutate.OPS_DDL))
+    assert _scans(out) <= 1 and _scans(after.cells) <= 4
+    assert _scans(overlay.diff(state, other)) <= 8

@@ -1,13 +1,14 @@
 import warnings
 
 import pytest
-from helpers import cells_of, changes, del_record, put, tombs_of
+from helpers import cells_of, changes, del_record, put, rows_of, tombs_of
 from pyspark.sql import functions as F
 
+from tidemark.errors import ConflictError, CorruptStoreError, LimitError, NoParentError
 from tidemark.model import CHANGES_DDL, new
 from tidemark.operators import digest, merge, mutate
 from tidemark.sources import codec
-from tidemark.sources.store import Config, CorruptStoreError, Store
+from tidemark.sources.store import Config, Store
 from tidemark.streaming.apply import apply_stream, read_changes
 
 MANUAL = Config(snapshot_changes=1 << 60, snapshot_seconds=float("inf"))
@@ -132,6 +133,7 @@ def test_digest_and_proof(spark):
     rows = [put(k, f"r{k}", "x", str(k)) for k in range(40)]
     a = merge.merge(new(spark, 1), changes(spark, rows)).replica
     b = merge.merge(new(spark, 2), changes(spark, [(100 - r[0], *r[1:]) for r in rows])).replica
+    assert digest.depth_for(a) == 2 and digest.root(a).first() == digest.root(a, 2).first()
     root = digest.root(a, 2).first().root
     assert root == digest.root(b, 2).first().root
     proof = digest.prove(a, "r7", 2)
@@ -139,3 +141,139 @@ def test_digest_and_proof(spark):
     c = merge.merge(a, changes(spark, [put(1, "r7", "x", "changed", cv=9)])).replica
     assert digest.root(c, 2).first().root != root
     assert digest.with_root(changes(spark, rows[:1]), a, 2).first().root == root
+
+
+def test_the_digest_gets_deeper_with_the_records(spark, monkeypatch):
+    monkeypatch.setattr(digest, "LEAVES", 2)
+    a = merge.merge(new(spark, 1), changes(spark, [put(k, f"r{k}", "x", str(k)) for k in range(1500)])).replica
+    assert digest.depth_for(a) == 3
+    root, proof = digest.root(a).first().root, digest.prove(a, "r7")
+    assert digest.verify(root, proof) and len(proof["nodes"]) == 3 and len(proof["leaves"]) < 10
+    assert digest.levels(a)[0].count() > 256
+
+
+class Dies(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", range(6))
+def test_a_writer_that_dies_loses_nothing(spark, tmp_path, monkeypatch, step):
+    """Dies before the step-th thing that it does to the files of the manifest."""
+    store = Store.open(spark, str(tmp_path / "s"), 1, MANUAL)
+    for k in range(4):
+        store.apply_ops(_ops(spark, ("put", "a", f"x{k}", "1")))
+    before = cells_of(store.replica())
+    left, files = [step], store.files
+
+    class Fragile:
+        def __getattr__(self, name):
+            real = getattr(files.fs, name)
+            if name not in ("create", "rename", "delete", "exists"):
+                return real
+
+            def call(*args):
+                if "manifest" in str(args[0]):
+                    if not left[0]:
+                        raise Dies
+                    left[0] -= 1
+                return real(*args)
+
+            return call
+
+    store.files = type(files)(spark, store.root)
+    store.files.fs = Fragile()
+    try:
+        store.apply_ops(_ops(spark, ("put", "a", "x", "new")))
+        died = False
+    except Dies:
+        died = True
+    again = Store.open(spark, store.root, 1, MANUAL)
+    after = cells_of(again.replica())
+    assert after == before or set(after) - set(before) == {("a", "x")} and {k: after[k] for k in before} == before
+    assert died or ("a", "x") in after
+    again.apply_ops(_ops(spark, ("put", "b", "x", "2")))
+    assert ("b", "x") in cells_of(Store.open(spark, store.root, 1, MANUAL).replica())
+
+
+def test_manifests_are_never_replaced(spark, tmp_path):
+    one = Store.open(spark, str(tmp_path / "s"), 1, MANUAL)
+    two = Store.open(spark, str(tmp_path / "s"), 1, MANUAL)
+    one.apply_ops(_ops(spark, ("put", "a", "x", "1")))
+    with pytest.raises(ConflictError):
+        two.apply_ops(_ops(spark, ("put", "a", "x", "2")))
+    for _ in range(4):
+        one.mark_uploaded("nothing")
+    assert len([n for n in one.files.list("") if n.startswith("manifest")]) == 3
+    for name in [n for n in one.files.list("") if n.startswith("manifest")]:
+        one.files.delete(name)
+    with pytest.raises(CorruptStoreError, match="no manifest"):
+        Store.open(spark, one.root, 1)
+
+
+def test_reads_by_version_reach_the_scans(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "s"), 1, MANUAL)
+    marks = []
+    for k in range(3):
+        store.apply_ops(_ops(spark, ("put", "a", f"c{k}", "1"), ("put", f"r{k}", "x", "1"), ("put", f"d{k}", "x", "1"), ("del_record", f"d{k}", None, None)))
+        marks.append(store.clock)
+        if k < 2:
+            store.snapshot()
+    for since in (0, *marks):
+        got = store.changes_since(since)
+        want = merge.compress(_since(store, since))
+        assert rows_of(got.drop("seq")) == rows_of(want.drop("seq"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan" in line and "local_db_version" in line]
+        assert all("GreaterThan(local_db_version" in line for line in scans), plan
+        assert "snapshots/full" not in plan or since < marks[0]
+    assert store.changes_since(marks[2]).isEmpty()
+
+
+def _since(store, since):
+    from tidemark.operators import query
+
+    return query.changes_since(store.replica(), since)
+
+
+def test_versions_near_the_greatest_are_stored(spark, tmp_path):
+    top = (1 << 63) - 101
+    store = Store.open(spark, str(tmp_path / "s"), 1, MANUAL)
+    store.merge(changes(spark, [put(1, "x", "f", "initial", db=top), put(2, "y", "f", "2", db=3)]))
+    store.apply_ops(_ops(spark, ("put", "x", "g", "value")))
+    for _ in range(2):
+        again = Store.open(spark, store.root, 1, MANUAL)
+        assert {k: v[0] for k, v in cells_of(again.replica()).items()} == {("x", "f"): "initial", ("x", "g"): "value", ("y", "f"): "2"}
+        assert again.clock > top and again.changes_since(top).count() >= 1
+        store.snapshot()
+
+
+def test_checks_limits_layouts_and_errors(spark, tmp_path):
+    orc = Config(snapshot_changes=1 << 60, snapshot_seconds=float("inf"), format="orc", sort_by="local_db_version")
+    store = Store.open(spark, str(tmp_path / "s"), 1, orc)
+    store.apply_ops(_ops(spark, ("put", "a", "x", "1"), ("put", "b", "x", "2"), ("del_record", "b", None, None)))
+    store.snapshot()
+    again = Store.open(spark, store.root, 1, MANUAL)  # goes on in Parquet
+    again.apply_ops(_ops(spark, ("put", "c", "x", "3"), ("del_record", "d", None, None)))
+    again.check()
+    assert set(cells_of(again.replica())) == {("a", "x"), ("c", "x")} and set(tombs_of(again.replica())) == {"b", "d"}
+    again.config = Config(most_tombstones=1)
+    with pytest.raises(LimitError):
+        again.snapshot(full=True)
+    again.config = MANUAL
+    again.snapshot()
+    again.check()
+    again.manifest["snapshots"][0]["cells"] += 1
+    with pytest.raises(CorruptStoreError, match="instead of"):
+        again.check()
+    with pytest.raises(NoParentError):
+        again.revert()
+
+
+def test_superseded_incremental_snapshots_go(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "s"), 1, MANUAL)
+    for full in (True, False, True, False):
+        store.apply_ops(_ops(spark, ("put", "a", "x", str(full)), ("put", "b", "y", "1")))
+        store.snapshot(full=full)
+    assert store.cleanup_snapshots(2) == 1  # the first incremental one; both full ones are kept
+    assert [s["base"] is None for s in store.manifest["snapshots"]] == [True, True, False]
+    assert cells_of(Store.open(spark, store.root, 1, MANUAL).replica())["a", "x"][0] == "False"

@@ -57,7 +57,8 @@ def _loaded(spark, content="one\ntwo\nthree"):
 
 
 def _changes(spark, rows):
-    return spark.createDataFrame(rows, text.CHANGES_DDL)
+    """Changes; a base content may come last."""
+    return spark.createDataFrame([r if len(r) == 11 else (*r, None) for r in rows], text.CHANGES_DDL)
 
 
 def _text(state):
@@ -90,11 +91,69 @@ def test_merge_rules(spark):
             assert [r.content for r in text.all_versions(s).orderBy("at").collect()] == ["by 5", "by 2", "by 3", "by 4"]
 
 
-def test_auto_merge(spark):
-    state = _loaded(spark, "the quick brown fox")
-    a, _ = text.edit_lines(state.with_(node_id=2), spark.createDataFrame([(1, "d", "1_1_0", "the slow brown fox")], "seq long, doc_id string, line_id string, content string"))
-    theirs = _changes(spark, [(1, "d", "Edit", "1_1_0", None, "the quick brown wolf", 2, 2, 3, 2)])
-    assert _text(text.merge(a, theirs, text.AUTO_MERGE)) == "the slow brown wolf"
+def _lines(state):
+    """What must be the same on all replicas."""
+    keep = ["line_id", "content", "line_version", "db_version", "node_id", "conflicts", "merged_from"]
+    return sorted(repr([r[c] for c in keep]) for r in state.lines.collect())
+
+
+def test_auto_merge_converges(spark):
+    """Three writers edit at once, one of them only reads; every replica ends with the same, in every order."""
+    state = _loaded(spark, "one two three four\nplain")
+    edits = {2: "ONE two three four", 3: "one two three FOUR", 4: "one TWO three four"}
+    one = "seq long, doc_id string, line_id string, content string"
+    made = {n: text.edit_lines(state.with_(node_id=n), spark.createDataFrame([(n, "d", "1_1_0", c)], one)) for n, c in edits.items()}
+    changes = {n: spark.createDataFrame(m[1].collect(), text.CHANGES_DDL) for n, m in made.items()}
+    ends = []
+    for start, order in ((state, (2, 3, 4)), (made[2][0], (3, 4)), (made[4][0], (2, 3))):
+        for n in order:
+            start = text.merge(start, changes[n], text.AUTO_MERGE)
+            start = start.with_(lines=spark.createDataFrame(start.lines.collect(), text.LINES_DDL))
+        ends.append(start)
+    assert {_text(e) for e in ends} == {"ONE TWO three FOUR\nplain"}
+    assert len({str(_lines(e)) for e in ends}) == 1
+    # What a replica has merged goes on as the writes that it holds.
+    two = text.merge(made[2][0], changes[3], text.AUTO_MERGE)
+    sent = [(k, *r[1:]) for k, r in enumerate(text.changes_since(two, 1).collect())] + [tuple(r) for r in changes[4].collect()]
+    assert len(sent) == 3 and _text(text.merge(state, _changes(spark, sent), text.AUTO_MERGE)) == "ONE TWO three FOUR\nplain"
+    # An edit of the merged line is the next version, of the merged content.
+    _, later = text.edit_lines(ends[0].with_(node_id=5), spark.createDataFrame([(1, "d", "1_1_0", "all new")], one))
+    assert later.first().base_content == "ONE TWO three FOUR" and later.first().line_version == 3
+
+
+def test_overlapping_edits_are_all_kept_everywhere(spark):
+    state = _loaded(spark, "one two")
+    rows = [(k, "d", "Edit", "1_1_0", None, f"one {k}", 2, 2, k, 2, "one two") for k in (2, 3)] + [(9, "d", "Edit", "1_1_0", None, "zero one two", 2, 2, 9, 2, "one two")]
+    ends = [text.merge(text.merge(state, _changes(spark, rows[:k]), text.AUTO_MERGE), _changes(spark, rows[::-1]), text.AUTO_MERGE) for k in (1, 2)]
+    ends.append(text.merge(state, _changes(spark, rows), text.AUTO_MERGE))
+    assert len({str(_lines(e)) for e in ends}) == 1
+    assert [r.content for r in text.all_versions(ends[0]).orderBy("at").collect()] == ["zero one two", "one 2", "one 3"]
+    unknown = [(k, "d", "Edit", "1_1_0", None, f"{k} one two", 2, 2, k, 2) for k in (2, 3)]
+    assert len(text.merge(state, _changes(spark, unknown), text.AUTO_MERGE).lines.first().conflicts) == 1
+
+
+def test_tombstone_reads_and_rebalancing(spark):
+    state = _loaded(spark)
+    state, _ = text.delete_lines(state, spark.createDataFrame([(1, "d", "1_1_1")], "seq long, doc_id string, line_id string"))
+    assert text.tombstone(state, "d", "1_1_1").count() == 1 and text.tombstone(state, "d", "1_1_0").isEmpty()
+    ids = spark.createDataFrame([("d", "1_1_0"), ("d", "1_1_1"), ("e", "1_1_1")], "doc_id string, line_id string")
+    assert {(r.doc_id, r.line_id): r.tombstoned for r in text.are_tombstoned(state, ids).collect()} == {("d", "1_1_0"): False, ("d", "1_1_1"): True, ("e", "1_1_1"): False}
+    ins = "seq long, doc_id string, where string, anchor string, content string"
+    for k in range(2):
+        state, _ = text.insert_lines(state, spark.createDataFrame([(k, "d", "after", "1_1_0", f"n{k}")], ins))
+        state = state.with_(lines=spark.createDataFrame(state.lines.collect(), text.LINES_DDL))
+    even = text.rebalanced(state)
+    assert _text(even) == _text(state) and {tuple(r.position) for r in even.lines.collect()} == {(10000 * (k + 1),) for k in range(4)}
+    text.show(even)
+
+
+def test_text_versions_near_the_greatest(spark):
+    top = (1 << 63) - 101
+    state = _loaded(spark)
+    far = text.merge(state, _changes(spark, [(1, "d", "Edit", "1_1_0", None, "far", 2, top, 2, top), (2, "d", "Insert", "n", [15000], "new", 1, top, 2, top)]))
+    there, mark = text.sync(far, state, 0)
+    assert _text(there) == _text(far) == "far\nnew\ntwo\nthree" and mark == top
+    assert there.clock > top
 
 
 def test_delete_beats_edit_and_deletes_keep_the_greatest(spark):

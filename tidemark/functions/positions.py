@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The distance between lines that are appended, and below a line that something is put before.
 SPACING, STEP = 10000, 10
 
 

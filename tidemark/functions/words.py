@@ -40,25 +40,26 @@ def apply_edits(base: list[str], edits: list[Edit]) -> list[str]:
     return out + base[at:]
 
 
-def merge_words(base: str | None, ours: str | None, theirs: str | None) -> str | None:
-    """The text with both sides' edits of base; None if they overlap."""
+def merge_words(base: str | None, *texts: str | None) -> str | None:
+    """The text with all sides' edits of base; None if any two of them overlap."""
     words = split_words(base)
-    a, b = diff_words(words, split_words(ours)), diff_words(words, split_words(theirs))
-    if overlap(a, b):
+    sides = [diff_words(words, split_words(t)) for t in texts]
+    if any(overlap(a, b) for i, a in enumerate(sides) for b in sides[:i]):
         return None
-    return " ".join(apply_edits(words, list(dict.fromkeys([*a, *b]))))
+    return " ".join(apply_edits(words, list(dict.fromkeys(e for side in sides for e in side))))
 
 
-def _merged(base: pd.Series, ours: pd.Series, theirs: pd.Series) -> pd.Series:
-    return pd.Series([merge_words(*row) for row in zip(base, ours, theirs, strict=True)], dtype=object)
+def _merged(base: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else merge_words(b, *t) for b, t in zip(base, texts, strict=True)], dtype=object)
 
 
 def _edits(base: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series([[{"start": e.start, "end": e.end, "words": list(e.words)} for e in diff_words(split_words(a), split_words(b))] for a, b in zip(base, other, strict=True)])
 
 
-def merged(base: Column, ours: Column, theirs: Column) -> Column:
-    return F.pandas_udf(_merged, "string")(base, ours, theirs)
+def merged(base: Column, texts: Column) -> Column:
+    """merge_words() of an array of texts; null for a null array."""
+    return F.pandas_udf(_merged, "string")(base, texts)
 
 
 def edits(base: Column, other: Column) -> Column:

@@ -1,13 +1,14 @@
 """Digests of a replica's state, to tell whether replicas agree and to prove what a record holds.
 
 Leaves are records' digests; a leaf's place is the SHA-256 of its key. The tree has 16 children to a node and
-`depth` levels; the records of a lowest node are combined in order of key. Each level is one aggregation over
-16 times fewer rows than the one below.
+`depth` levels, as many as leave LEAVES records or fewer, on average, to a lowest node; those are combined in order
+of key. Each level is one aggregation over 16 times fewer rows than the one below.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,13 @@ from pyspark.sql import functions as F
 from ..model import Replica
 from .query import live_cells
 
-DEPTH = 2
+LEAST_DEPTH, LEAVES = 2, 1024
+
+
+def depth_for(replica: Replica) -> int:
+    """The depth of a replica's tree; replicas that agree have as many records, so they have the same."""
+    n = live_cells(replica).select("record_id").distinct().count()
+    return max(LEAST_DEPTH, math.ceil(math.log(max(1, n / LEAVES), 16)))
 
 
 def leaves(replica: Replica) -> DataFrame:
@@ -27,8 +34,9 @@ def leaves(replica: Replica) -> DataFrame:
     return rows.select("record_id", F.sha2("record_id", 256).alias("place"), F.sha2(F.concat("record_id", F.lit("|"), "body"), 256).alias("leaf"))
 
 
-def levels(replica: Replica, depth: int = DEPTH) -> list[DataFrame]:
+def levels(replica: Replica, depth: int | None = None) -> list[DataFrame]:
     """(place, hash) of the nodes, the lowest level first, the root last."""
+    depth = depth or depth_for(replica)
     bottom = leaves(replica).groupBy(F.substring("place", 1, depth).alias("place"))
     nodes = [bottom.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_id", "leaf"))), lambda x: x["leaf"]), ""), 256).alias("hash"))]
     for d in range(depth - 1, -1, -1):
@@ -38,19 +46,20 @@ def levels(replica: Replica, depth: int = DEPTH) -> list[DataFrame]:
     return nodes
 
 
-def root(replica: Replica, depth: int = DEPTH) -> DataFrame:
+def root(replica: Replica, depth: int | None = None) -> DataFrame:
     """One row, the root hash; no row for an empty state."""
     return levels(replica, depth)[-1].select(F.col("hash").alias("root"))
 
 
-def with_root(changes: DataFrame, replica: Replica, depth: int = DEPTH) -> DataFrame:
+def with_root(changes: DataFrame, replica: Replica, depth: int | None = None) -> DataFrame:
     """changes, each with the root hash of the state that it comes from (null for an empty state)."""
     found = root(replica, depth).first()
     return changes.withColumn("root", F.lit(found.root if found else None).cast("string"))
 
 
-def prove(replica: Replica, record_id: str, depth: int = DEPTH) -> dict | None:
+def prove(replica: Replica, record_id: str, depth: int | None = None) -> dict | None:
     """What verify() needs: the record's leaf, the leaves beside it and the nodes beside its ancestors."""
+    depth = depth or depth_for(replica)
     place = hashlib.sha256(record_id.encode()).hexdigest()
     beside = [(r.record_id, r.leaf) for r in leaves(replica).filter(F.substring("place", 1, depth) == place[:depth]).orderBy("record_id").collect()]
     if record_id not in dict(beside):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..model import CELL_COLS, CHANGE_COLS, DEL_RECORD, DELETE_VERSION, PUT, TOMBSTONE_COLS, Replica, version
+from ..sources.staging import staged
 from . import clock
 from .query import changes_since
 
@@ -84,7 +85,8 @@ def merge(replica: Replica, changes: DataFrame, rule: Rule = LAST_WRITE, ignore_
     deleted records are ignored. Of the writes of a cell the rule's greatest stays, ties with the earlier one.
     accepted are the changes that took effect when they arrived, with the clock at that time. stamped=False
     leaves local_db_version as it came and the clock at the greatest db_version: it saves the pass that
-    computes the clock, for callers who want the state only.
+    computes the clock, for callers who want the state only; seq may then be of any type that has an order.
+    Changes that clock.stamp() has already been applied to (they have a column `range`) aren't stamped again.
 
     Costs a shuffle by record for deletes (a broadcast, if they are few) and one by cell. Each task keeps only
     its best write of a cell before that shuffle, so a hot cell or record doesn't pile up.
@@ -93,7 +95,7 @@ def merge(replica: Replica, changes: DataFrame, rule: Rule = LAST_WRITE, ignore_
         return _fold(replica, changes, rule, ignore_parent, parts)
     c0 = replica.clock if stamped else 0
     if stamped:
-        log = clock.stamp(changes, c0, parts=parts)
+        log = changes if "range" in changes.columns else clock.stamp(changes, c0, parts=parts)
         time: int | DataFrame = log.agg(F.coalesce(F.max("local_db_version"), F.lit(c0)))
     else:
         log = changes.withColumn("range", F.lit(0))
@@ -106,7 +108,7 @@ def merge(replica: Replica, changes: DataFrame, rule: Rule = LAST_WRITE, ignore_
     writes = cut.filter(F.col("gone").isNull() | (F.col("seq") < F.col("gone"))).withColumn("present", F.col("op") == PUT).withColumn("value", F.when(F.col("op") == PUT, F.col("value")))
     own, above = _incumbents(replica, writes, ignore_parent)
     held = own if above is None else own.unionByName(above)
-    before = held.select(*CELL_COLS, F.lit(None).cast("long").alias("seq"))
+    before = held.select(*CELL_COLS, F.lit(None).cast(changes.schema["seq"].dataType).alias("seq"))
     lasting = before.join(deletes.select("record_id"), "record_id", "left_anti").unionByName(writes.filter("gone is null").select(*CELL_COLS, "seq"))
     cells = _winners(lasting, rule)
     if above is not None:
@@ -149,7 +151,7 @@ def _accepted(before: DataFrame, writes: DataFrame, rule: Rule, spark) -> DataFr
 def _fold(replica: Replica, changes: DataFrame, rule: Rule, ignore_parent: bool, parts: int | None) -> Merged:
     """Merge under a predicate: sorted by cell and arrival, a cell's writes stream through one comparison each."""
     c0 = replica.clock
-    log = clock.stamp(changes, c0, parts=parts)
+    log = changes if "range" in changes.columns else clock.stamp(changes, c0, parts=parts)
     alive = log.join(dead_records(replica, ignore_parent), "record_id", "left_anti")
     deletes = _first_deletes(alive)
     cut = alive.filter(F.col("op") != DEL_RECORD).join(deletes.select("record_id", F.col("seq").alias("gone")), "record_id", "left")
@@ -214,20 +216,26 @@ def sync(source: Replica, target: Replica, last: int, **options) -> tuple[Merged
     """Applies to target what source has since `last`; returns the merge and the next watermark.
 
     The filter is on local versions and the watermark on the changes' own: what was sent may be sent again,
-    which changes nothing, and nothing is left out. Without changes the watermark stays.
+    which changes nothing, and nothing is left out. Without changes the watermark stays. What is sent is written
+    down in the shared folder.
     """
-    delta = numbered(changes_since(source, last))
+    delta = staged(numbered(staged(changes_since(source, last), "delta")), "numbered")
     seen = delta.agg(F.max("db_version")).first()[0]
     return merge(target, delta, **options), max(last, seen if seen is not None else last)
 
 
-def numbered(delta: DataFrame) -> DataFrame:
-    """A delta from a replica's state, which has no order of arrival, with a seq by local version.
+#: What tells the changes of a state apart.
+KEYS = ["record_id", "col_name", "op"]
 
-    One local version belongs to one call, so ties, numbered by a digest, are of one record or of one batch.
-    """
-    spread = F.pmod(F.xxhash64("record_id", "col_name", "op"), F.lit(1 << 20))
-    return delta.withColumn("seq", F.col("local_db_version") * (1 << 20) + spread)
+
+def numbered(delta: DataFrame, parts: int | None = None) -> DataFrame:
+    """A delta from a replica's state, which has no order of arrival, with a seq by local version."""
+    return clock.numbered(delta.drop("seq"), KEYS, parts=parts).select(*CHANGE_COLS)
+
+
+def in_version_order(delta: DataFrame) -> DataFrame:
+    """A delta with a seq of another type, by local version: for merges that don't stamp."""
+    return delta.withColumn("seq", clock.in_version_order(KEYS))
 
 
 def compact_tombstones(replica: Replica, min_acknowledged: int) -> tuple[Replica, DataFrame]:
@@ -237,4 +245,4 @@ def compact_tombstones(replica: Replica, min_acknowledged: int) -> tuple[Replica
     return replica.with_(tombstones=replica.tombstones.filter(~old)), removed
 
 
-__all__ = ["DELETE_VERSION", "LAST_WRITE", "Merged", "Rule", "compact_tombstones", "compress", "in_order", "merge", "numbered", "sync", "with_context"]
+__all__ = ["DELETE_VERSION", "LAST_WRITE", "Merged", "Rule", "compact_tombstones", "compress", "in_order", "in_version_order", "merge", "numbered", "sync", "with_context"]

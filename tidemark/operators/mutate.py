@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import CELL_COLS, CHANGE_COLS, DEL_FIELD, DEL_RECORD, DELETE_VERSION, PUT, TOMBSTONE_COLS, Replica
+from ..sources.staging import staged
 from . import clock
 from .merge import dead_records, parent_cells
 
@@ -29,6 +30,9 @@ def apply_ops(replica: Replica, ops: DataFrame, parts: int | None = None) -> tup
 
     Puts tick the clock even where the record is deleted and they change nothing. Deleting a record twice, or a
     field that isn't there, does nothing and takes no tick; deleting an unknown record leaves a tombstone.
+
+    The operations, with all that is found out about them, are written down once (in the shared folder): the
+    state, the changes and the clock are read from there.
     """
     dead = dead_records(replica).select("record_id", F.lit(True).alias("dead"))
     known = ops.join(dead, "record_id", "left").withColumn("dead", F.coalesce("dead", F.lit(False)))
@@ -60,6 +64,7 @@ def apply_ops(replica: Replica, ops: DataFrame, parts: int | None = None) -> tup
     timed = timed.withColumn("db_version", F.lit(replica.clock) + F.col("count"))
     count = F.sum(F.col("emitted").cast("int")).over(cell.rowsBetween(Window.unboundedPreceding, 0))
     versioned = timed.withColumn("col_version", F.when(F.col("op") == DEL_RECORD, F.lit(DELETE_VERSION)).otherwise(F.coalesce("stored", F.lit(0)) + count).cast("long"))
+    versioned = staged(versioned.drop("range"), "operations")
     changes = versioned.filter("emitted").select(
         "seq", "record_id", "op", "col_name", F.when(F.col("op") == PUT, F.col("value")).alias("value"), "col_version", "db_version", F.lit(replica.node_id).cast("long").alias("node_id"), F.col("db_version").alias("local_db_version"), "flags"
     )
@@ -68,7 +73,7 @@ def apply_ops(replica: Replica, ops: DataFrame, parts: int | None = None) -> tup
     written_cells = last.withColumn("present", F.col("op") == PUT).select(*CELL_COLS)
     kept = own.join(written_cells.select("record_id", "col_name"), ["record_id", "col_name"], "left_anti")
     cells = kept.select(*CELL_COLS).unionByName(written_cells).join(gone.select("record_id"), "record_id", "left_anti")
-    time = timed.agg(F.coalesce(F.max("db_version"), F.lit(replica.clock)))
+    time = versioned.agg(F.coalesce(F.max("db_version"), F.lit(replica.clock)))
     return replica.with_(cells=cells, tombstones=replica.tombstones.unionByName(gone), clock_source=time), changes.select(*CHANGE_COLS)
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import NoParentError
 from ..model import CHANGE_COLS, DEL_FIELD, DEL_RECORD, PUT, Replica
+from ..sources.staging import staged
 from .merge import compress
 from .query import changes_since, live_cells
 
@@ -42,9 +44,18 @@ def invert(changes: DataFrame, reference: Replica, node_id: int, clock: int) ->
     return puts(restored).unionByName(puts(back)).unionByName(undone).select(*CHANGE_COLS)
 
 
+def written(replica: Replica) -> Replica:
+    """The same replica, its frames (not its parents') written down: worth it where more than one is read again."""
+    return replica.with_(cells=staged(replica.cells, "cells"), tombstones=staged(replica.tombstones, "tombstones"))
+
+
 def diff(a: Replica, b: Replica) -> DataFrame:
-    """Changes that turn a into b, from the changes that either has made since the lesser of their clocks."""
+    """Changes that turn a into b, from the changes that either has made since the lesser of their clocks.
+
+    Both states are read several times, so they are written down first.
+    """
     common = min(a.clock, b.clock)
+    a, b = written(a), written(b)
     back = invert(changes_since(a, common), b, a.node_id, a.clock)
     return compress(back.unionByName(changes_since(b, common)))
 
@@ -52,6 +63,6 @@ def diff(a: Replica, b: Replica) -> DataFrame:
 def revert(child: Replica) -> DataFrame:
     """Changes that undo what a child has done since it was made; not compressed."""
     if not child.parent:
-        raise ValueError("a replica without a parent has nothing to go back to")
+        raise NoParentError("a replica without a parent has nothing to go back to")
     own = changes_since(child.with_(parent=None), child.base_version)
     return invert(own, child.parent, child.node_id, child.clock)

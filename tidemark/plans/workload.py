@@ -71,16 +71,21 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "content"))
 
 
-def line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writers 2 and 3 edit every 5th line of every document at once; writer 2 deletes every 11th."""
+def line_edits(spark: SparkSession, sf_dir: str, apart: bool = False) -> DataFrame:
+    """Writers 2 and 3 edit every 5th line of every document at once; writer 2 deletes every 11th.
+
+    Both add a word at the end; if apart, writer 2 adds it in front.
+    """
     rows = doc_lines(spark, sf_dir).select("doc_id", "i", "content", F.concat_ws("_", F.lit(1), F.lit(1), "i").alias("line_id"))
     kind = F.when(F.col("i") % 11 == 10, F.lit("Delete")).when(F.col("i") % 5 == 4, F.lit("Edit"))
     base = rows.withColumn("type", kind).filter("type is not null")
     nodes = base.select("*", F.explode(F.array(F.lit(2), F.lit(3))).alias("node_id")).filter("type = 'Edit' or node_id = 2")
+    word = F.concat(F.lit("edit"), F.col("node_id").cast("string"))
     return nodes.select(
         (F.col("doc_id").cast("long") * 1_000_000 + F.col("i") * 4 + F.col("node_id")).alias("seq"), "doc_id", "type", "line_id", F.lit(None).cast("array<bigint>").alias("position"),
-        F.when(F.col("type") == "Edit", F.concat(F.col("content"), F.lit(" edit"), F.col("node_id").cast("string"))).alias("content"),
+        F.when(F.col("type") == "Edit", F.when(F.lit(apart) & (F.col("node_id") == 2), F.concat(word, F.lit(" "), "content")).otherwise(F.concat("content", F.lit(" "), word))).alias("content"),
         F.when(F.col("type") == "Edit", 2).otherwise(1).cast("long").alias("line_version"), F.lit(2).cast("long").alias("db_version"), F.col("node_id").cast("long").alias("node_id"), F.lit(2).cast("long").alias("local_db_version"),
+        F.when(F.col("type") == "Edit", F.col("content")).alias("base_content"),
     )
 
 

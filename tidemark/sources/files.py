@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -35,14 +36,16 @@ class Files:
             stream.close()
 
     def write_json(self, name: str, value) -> None:
-        """Written beside, then renamed: readers see the old file or the new one."""
-        new = f"{name}.new"
+        """A new file, whole or not at all: written beside, then renamed to a name that must not be taken.
+
+        File systems may refuse to rename onto a file, or do it unawares; so nothing is ever replaced.
+        """
+        new = f"{name}.{uuid.uuid4().hex}.new"
         stream = self.fs.create(self.path(new), True)
         try:
             stream.write(bytearray(json.dumps(value).encode()))
         finally:
             stream.close()
-        if not self.fs.rename(self.path(new), self.path(name)):
-            self.fs.delete(self.path(name), False)  # file systems that don't rename onto a file
-            if not self.fs.rename(self.path(new), self.path(name)):
-                raise OSError(f"can't rename {new} to {name}")
+        if self.exists(name) or not self.fs.rename(self.path(new), self.path(name)):
+            self.fs.delete(self.path(new), False)
+            raise FileExistsError(f"{self.root}/{name}")

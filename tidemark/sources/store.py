@@ -1,44 +1,44 @@
 """A durable replica: a log of changes in segments, full and incremental snapshots, recovery, clean-up, hooks.
 
-Everything is Parquet below one folder, named by a manifest that is replaced by renaming. A change is in the
+Everything is in files below one folder, named by manifests. A manifest is written under a new number, by renaming
+to a name that isn't taken; the greatest number counts. So a writer that dies between any two steps leaves the
+store as it was before or after the step, and two writers can't both go on from one state. A change is in the
 store once the manifest that names its batch is there; files that no manifest names are never read.
 
 The state is a plan, not a copy: the snapshots' cells, overlaid by the merge of the log since. Recently written
 records are the log (hot), the rest the snapshot (cold); reading merges them, point reads with the key pushed
-down to both. The log's size bounds the work of a read, and snapshots bound the log.
+down to both, reads by version with the version pushed down and without the snapshots that are older. The log's
+size bounds the work of a read, and snapshots bound the log.
 """
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConflictError, CorruptStoreError, LimitError, NoParentError
 from ..model import CELL_COLS, CELLS_DDL, CHANGE_COLS, CHANGES_DDL, TOMBSTONE_COLS, TOMBSTONES_DDL, Replica, empty
+from ..operators import clock as clocks
 from ..operators import merge as merging
 from ..operators import mutate, query
 from .files import Files
-
-
-class StoreError(Exception):
-    pass
-
-
-class CorruptStoreError(StoreError):
-    """The manifest names files that aren't there, or can't be read."""
-
-
-class NoParentError(StoreError):
-    pass
+from .staging import staged, temporary
 
 
 @dataclass(frozen=True)
 class Config:
+    """snapshot_changes and snapshot_seconds: after how much to write a snapshot by itself. full_every: incremental
+    snapshots between full ones. format and sort_by are the layout of the files: any of Spark's columnar formats,
+    and the column that snapshots are sorted by (record_id for point and range reads, local_db_version for reads
+    by version); a store can be opened with another layout than it was written with, file by file."""
+
     snapshot_changes: int = 1000
     snapshot_seconds: float = 300.0
     incremental: bool = True
@@ -48,13 +48,22 @@ class Config:
     batch_limit: int = 10_000
     batch_overflow: str = "clear"  # or "newest_half"
     compression: str = "zstd"
+    format: str = "parquet"
+    sort_by: str = "record_id"
+    most_tombstones: int | None = None  # in a snapshot; beyond, tombstones have to be compacted
 
 
-MANIFEST = "manifest.json"
+MANIFEST = re.compile(r"manifest-(\d{12})\.json")
+#: Manifests that are kept besides the latest.
+OLD_MANIFESTS = 2
 #: The log holds only changes that took effect, whatever rule they did by: the last to come is the state.
 REPLAY = merging.Rule(order_key=lambda: [F.col("local_db_version"), F.col("col_version")])
 
 
+def _numbers(files: Files) -> list[int]:
+    return sorted(int(m[1]) for m in map(MANIFEST.fullmatch, files.list("")) if m)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, manifest: dict, config: Config):
         self.spark, self.root, self.config, self.manifest = spark, root.rstrip("/"), config, manifest
@@ -71,20 +80,35 @@ class Store:
     def open(cls, spark: SparkSession, root: str, node_id: int, config: Config | None = None) -> Store:
         """The store below root, or a new one. The node id of an existing store is the one given here."""
         files = Files(spark, root)
-        if files.exists(MANIFEST):
+        if numbers := _numbers(files):
+            name = f"manifest-{numbers[-1]:012d}.json"
             try:
-                manifest = files.read_json(MANIFEST)
+                manifest = files.read_json(name)
             except ValueError as e:
-                raise CorruptStoreError(f"{root}/{MANIFEST} can't be read") from e
+                raise CorruptStoreError(f"{root}/{name} can't be read") from e
             manifest["node_id"] = node_id
+        elif found := sorted({"wal", "snapshots"} & set(files.list(""))):
+            raise CorruptStoreError(f"{root} has {', '.join(found)}, but no manifest")
         else:
-            manifest = {"node_id": node_id, "clock": 0, "segment": 0, "batches": [], "snapshots": [], "sealed": [], "batch_id": -1}
+            manifest = {"number": 0, "node_id": node_id, "clock": 0, "segment": 0, "batches": [], "snapshots": [], "sealed": [], "batch_id": -1}
         store = cls(spark, root, manifest, config or Config())
         for entry in [*manifest["snapshots"], *manifest["batches"]]:
             if not files.exists(entry["path"]):
                 raise CorruptStoreError(f"{root}/{entry['path']} is missing")
         return store
 
+    def check(self) -> None:
+        """Counts the rows of all files that the manifest names; raises CorruptStoreError where they are others."""
+        for b in self.manifest["batches"]:
+            self._expect(b["path"], self._read([b]).count(), b["n"])
+        for s in self.manifest["snapshots"]:
+            for name, ddl in (("cells", CELLS_DDL), ("tombstones", TOMBSTONES_DDL)):
+                self._expect(f"{s['path']}/{name}", self._part(s, name, ddl).count(), s[name])
+
+    def _expect(self, path: str, n: int, wanted: int) -> None:
+        if n != wanted:
+            raise CorruptStoreError(f"{self.root}/{path} has {n} rows instead of {wanted}")
+
     @property
     def node_id(self) -> int:
         return self.manifest["node_id"]
@@ -107,12 +131,21 @@ class Store:
             last = s["version"]
         return [base, *parts]
 
-    def cold(self) -> Replica:
-        """The state of the snapshots alone."""
+    def _part(self, snapshot: dict, name: str, ddl: str) -> DataFrame:
+        return self.spark.read.schema(ddl).format(snapshot.get("format", "parquet")).load(f"{self.root}/{snapshot['path']}/{name}")
+
+    def cold(self, since: int | None = None) -> Replica:
+        """The state of the snapshots alone; with since, only what has a later local version.
+
+        All that a snapshot holds is as old as the snapshot, or older, so those up to since aren't read. What is
+        older than since can't be brought back by anything newer, so the filter goes before all else.
+        """
         cells, tombstones, clock = empty(self.spark, CELLS_DDL), empty(self.spark, TOMBSTONES_DDL), 0
         for s in self.chain():
-            new = self.spark.read.schema(CELLS_DDL).parquet(f"{self.root}/{s['path']}/cells")
-            gone = self.spark.read.schema(TOMBSTONES_DDL).parquet(f"{self.root}/{s['path']}/tombstones")
+            clock = s["version"]
+            if since is not None and s["version"] <= since:
+                continue
+            new, gone = self._part(s, "cells", CELLS_DDL), self._part(s, "tombstones", TOMBSTONES_DDL)
             if s["base"] is None:
                 cells, tombstones = new, gone
             else:
@@ -120,42 +153,64 @@ class Store:
                 replaced = new.select("record_id").unionAll(gone.select("record_id")).distinct()
                 cells = cells.join(replaced, "record_id", "left_anti").unionByName(new)
                 tombstones = tombstones.join(gone.select("record_id"), "record_id", "left_anti").unionByName(gone)
-            clock = s["version"]
+        if since is not None:
+            later = F.col("local_db_version") > since
+            cells, tombstones = cells.filter(later), tombstones.filter(later)
         return Replica(self.node_id, cells, tombstones, clock)
 
+    def _read(self, batches: list[dict]) -> DataFrame:
+        """The changes of batches, each in the format that it was written in."""
+        parts = [self.spark.read.schema(CHANGES_DDL).format(f).load([f"{self.root}/{b['path']}" for b in batches if b.get("format", "parquet") == f]) for f in sorted({b.get("format", "parquet") for b in batches})]
+        out = empty(self.spark, CHANGES_DDL) if not parts else parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
     def log(self) -> DataFrame:
         """The changes since the last snapshot."""
-        paths = [f"{self.root}/{b['path']}" for b in self.manifest["batches"] if not b["covered"]]
-        if not paths:
-            return empty(self.spark, CHANGES_DDL)
-        return self.spark.read.schema(CHANGES_DDL).parquet(*paths)
+        return self._read([b for b in self.manifest["batches"] if not b["covered"]])
+
+    def _state(self, cold: Replica, only: Column | None = None) -> Replica:
+        log = self.log() if only is None else self.log().filter(only)
+        return merging.merge(cold, merging.in_version_order(log), REPLAY, stamped=False).replica.with_(clock_source=self.clock)
 
     def replica(self) -> Replica:
         """The state now: a plan over the files. Local versions are those that the changes got when they came."""
-        merged = merging.merge(self.cold(), merging.numbered(self.log()), REPLAY, stamped=False).replica
-        return merged.with_(clock_source=self.clock)
+        return self._state(self.cold())
 
     # ---- writing
 
     def apply_ops(self, ops: DataFrame) -> DataFrame:
         """Local inserts, updates and deletes; returns the changes to send."""
-        after, changes = mutate.apply_ops(self.replica(), ops)
-        return self._commit(changes, after)
+        with temporary(self.spark):
+            after, changes = mutate.apply_ops(self.replica(), ops)
+            return self._commit(changes, after.clock)
 
     def merge(self, changes: DataFrame, rule: merging.Rule = merging.LAST_WRITE, batch_id: int | None = None) -> DataFrame:
-        """Changes from others; returns those that took effect. A batch_id that was merged before does nothing."""
+        """Changes from others; returns those that took effect. A batch_id that was merged before does nothing.
+
+        The changes are written down once with the clock at each, as the merge reads them several times.
+        """
         if batch_id is not None and batch_id <= self.manifest["batch_id"]:
             return empty(self.spark, CHANGES_DDL)
-        merged = merging.merge(self.replica(), changes, rule)
-        return self._commit(merged.accepted, merged.replica, batch_id)
+        with temporary(self.spark):
+            log = staged(clocks.stamp(changes, self.clock), "stamped")
+            last = log.agg(F.max("local_db_version")).first()[0]
+            merged = merging.merge(self.replica(), log, rule)
+            return self._commit(merged.accepted, self.clock if last is None else last, batch_id)
 
-    def _commit(self, changes: DataFrame, after: Replica, batch_id: int | None = None) -> DataFrame:
+    def revert(self) -> DataFrame:
+        """Stores have no parent, so there is nothing to go back to."""
+        raise NoParentError(f"{self.root} is a store, which has no parent to go back to")
+
+    def _commit(self, changes: DataFrame, clock: int, batch_id: int | None = None) -> DataFrame:
         path = f"wal/segment={self.manifest['segment']:06d}/batch={uuid.uuid4().hex}"
-        changes.select(*CHANGE_COLS).write.option("compression", self.config.compression).parquet(f"{self.root}/{path}")
-        written = self.spark.read.schema(CHANGES_DDL).parquet(f"{self.root}/{path}")
-        n = written.count()
-        self.manifest["batches"].append({"path": path, "segment": self.manifest["segment"], "n": n, "covered": False})
-        self.manifest["clock"] = max(self.clock, after.clock)
+        changes.select(*CHANGE_COLS).write.format(self.config.format).option("compression", self.config.compression).save(f"{self.root}/{path}")
+        batch = {"path": path, "segment": self.manifest["segment"], "format": self.config.format, "covered": False}
+        written = self._read([batch])
+        n = batch["n"] = written.count()
+        self.manifest["batches"].append(batch)
+        self.manifest["clock"] = max(self.clock, clock)
         if batch_id is not None:
             self.manifest["batch_id"] = batch_id
         self._publish()
@@ -169,7 +224,14 @@ class Store:
         return written
 
     def _publish(self) -> None:
-        self.files.write_json(MANIFEST, self.manifest)
+        number = self.manifest["number"] + 1
+        try:
+            self.files.write_json(f"manifest-{number:012d}.json", self.manifest | {"number": number})
+        except FileExistsError as e:
+            raise ConflictError(f"{self.root} has been written to by another since it was opened") from e
+        self.manifest["number"] = number
+        for old in _numbers(self.files)[: -1 - OLD_MANIFESTS]:
+            self.files.delete(f"manifest-{old:012d}.json")
 
     # ---- the outbox
 
@@ -184,8 +246,8 @@ class Store:
 
     def peek_batch(self) -> DataFrame:
         """Changes that haven't been taken yet, for sending."""
-        paths = [f"{self.root}/{p}" for p, _ in self._outbox]
-        return self.spark.read.schema(CHANGES_DDL).parquet(*paths) if paths else empty(self.spark, CHANGES_DDL)
+        waiting = {p for p, _ in self._outbox}
+        return self._read([b for b in self.manifest["batches"] if b["path"] in waiting])
 
     def take_batch(self) -> DataFrame:
         batch = self.peek_batch()
@@ -199,29 +261,45 @@ class Store:
         chain = self.chain()
         if full is None:
             full = not self.config.incremental or not chain or len(chain) > self.config.full_every
-        state, version = self.replica(), self.clock
-        since = chain[-1]["version"] if chain else -1
-        cells, gone = (state.cells, state.tombstones) if full or not chain else query.changed_records(state, since)
-        full = full or not chain
+        version, since = self.clock, chain[-1]["version"] if chain else -1
         self._since_snapshot, self._last_snapshot = 0, time.monotonic()
-        if not full and self.config.skip_empty_incremental and cells.isEmpty() and gone.isEmpty():
-            return None
-        path = f"snapshots/{'full' if full else 'incr'}-{version:012d}-{uuid.uuid4().hex[:8]}"
-        for name, frame, cols in (("cells", cells, CELL_COLS), ("tombstones", gone, TOMBSTONE_COLS)):
-            frame.select(*cols).repartitionByRange("record_id").sortWithinPartitions("record_id").write.option("compression", self.config.compression).parquet(f"{self.root}/{path}/{name}")
+        with temporary(self.spark):
+            if full or not chain:
+                full, state = True, self.replica()
+            else:
+                # Only records of the log have changed.
+                ids = staged(self.log().select("record_id").distinct(), "changed")
+                if self.config.skip_empty_incremental and ids.isEmpty():
+                    return None
+                cold = self.cold()
+                state = self._state(cold.with_(cells=cold.cells.join(ids, "record_id", "left_semi"), tombstones=cold.tombstones.join(ids, "record_id", "left_semi")))
+                state = state.with_(tombstones=state.tombstones.filter(F.col("local_db_version") > since))
+            entry = self._write(state, version, None if full else chain[0]["version"], None if full else since)
         for b in self.manifest["batches"]:
             b["covered"] = True
-        self.manifest["snapshots"].append({"path": path, "version": version, "base": None if full else chain[0]["version"], "follows": None if full else since, "uploaded": False})
+        self.manifest["snapshots"].append(entry)
         sealed = self._rotate()
         self._publish()
         for hook in self.after_snapshot:
-            hook(f"{self.root}/{path}", version)
+            hook(f"{self.root}/{entry['path']}", version)
         for hook in self.after_seal:
             for segment in sealed:
                 hook(f"{self.root}/{segment}")
         if self.config.auto_cleanup is not None:
             self.cleanup_snapshots(self.config.auto_cleanup)
-        return f"{self.root}/{path}"
+        return f"{self.root}/{entry['path']}"
+
+    def _write(self, state: Replica, version: int, base: int | None, follows: int | None) -> dict:
+        """A snapshot's files; returns its entry for the manifest, which doesn't have it yet."""
+        path, by, counts = f"snapshots/{'full' if base is None else 'incr'}-{version:012d}-{uuid.uuid4().hex[:8]}", self.config.sort_by, {}
+        for name, frame, cols, ddl in (("cells", state.cells, CELL_COLS, CELLS_DDL), ("tombstones", state.tombstones, TOMBSTONE_COLS, TOMBSTONES_DDL)):
+            # Written down first: dealing out by range reads its input twice.
+            frame = staged(frame.select(*cols), name)
+            counts[name] = frame.count()
+            if name == "tombstones" and self.config.most_tombstones is not None and counts[name] > self.config.most_tombstones:
+                raise LimitError(f"{counts[name]} tombstones: compact them, or allow more than {self.config.most_tombstones}")
+            frame.repartitionByRange(by).sortWithinPartitions(by).write.format(self.config.format).option("compression", self.config.compression).save(f"{self.root}/{path}/{name}")
+        return {"path": path, "version": version, "base": base, "follows": follows, "uploaded": False, "format": self.config.format, **counts}
 
     def _rotate(self) -> list[str]:
         """Closes the segment if anything was written to it. Returns the segments that no more is written to."""
@@ -239,10 +317,12 @@ class Store:
         self._publish()
 
     def cleanup_snapshots(self, keep: int, require_uploaded: bool = False) -> int:
-        """Deletes all but the latest `keep` (1 at least) full snapshots, and incremental ones whose base goes."""
+        """Deletes all but the latest `keep` (1 at least) full snapshots, and the incremental ones whose base goes or
+        that a later full one has superseded."""
         full = sorted((s for s in self.manifest["snapshots"] if s["base"] is None), key=lambda s: -s["version"])
         kept = {s["version"] for s in full[: max(1, keep)]}
-        gone = [s for s in self.manifest["snapshots"] if (s["version"] if s["base"] is None else s["base"]) not in kept and (s["uploaded"] or not require_uploaded)]
+        stays = lambda s: s["version"] in kept if s["base"] is None else s["base"] in kept and s["version"] >= max(kept)
+        gone = [s for s in self.manifest["snapshots"] if not stays(s) and (s["uploaded"] or not require_uploaded)]
         return self._drop("snapshots", gone)
 
     def cleanup_segments(self, keep: int = 0, require_uploaded: bool = False) -> int:
@@ -272,14 +352,13 @@ class Store:
         """Drops old tombstones for good: a full snapshot without them, and the log before it goes."""
         state, removed = merging.compact_tombstones(self.replica(), min_acknowledged)
         n = removed.first().removed
-        path = f"snapshots/full-{self.clock:012d}-{uuid.uuid4().hex[:8]}"
-        for name, frame in (("cells", state.cells.select(*CELL_COLS)), ("tombstones", state.tombstones.select(*TOMBSTONE_COLS))):
-            frame.repartitionByRange("record_id").sortWithinPartitions("record_id").write.option("compression", self.config.compression).parquet(f"{self.root}/{path}/{name}")
+        with temporary(self.spark):
+            entry = self._write(state, self.clock, None, None)
         for b in self.manifest["batches"]:
             b["covered"] = True
         # Snapshots of the same version hold the old tombstones.
         old = [s for s in self.manifest["snapshots"] if s["version"] >= self.clock or s["base"] is not None]
-        self.manifest["snapshots"].append({"path": path, "version": self.clock, "base": None, "follows": None, "uploaded": False})
+        self.manifest["snapshots"].append(entry)
         self._rotate()
         self._drop("snapshots", old)
         self.cleanup_segments()
@@ -292,8 +371,7 @@ class Store:
         here = F.col("record_id") == record_id
         cold = self.cold()
         narrowed = cold.with_(cells=cold.cells.filter(here), tombstones=cold.tombstones.filter(here))
-        state = merging.merge(narrowed, merging.numbered(self.log().filter(here)), REPLAY, stamped=False).replica
-        return query.get_record(state, record_id)
+        return query.get_record(self._state(narrowed, here), record_id)
 
     def contains(self, record_id: str) -> bool:
         return not self.get_record(record_id).isEmpty()
@@ -302,8 +380,9 @@ class Store:
         return not self.replica().tombstones.filter(F.col("record_id") == record_id).isEmpty()
 
     def changes_since(self, since: int, excluding: tuple[int, ...] = ()) -> DataFrame:
-        """Snapshots skip row groups by local version, the log by whole batches' statistics."""
-        return merging.compress(query.changes_since(self.replica(), since, excluding))
+        """What has a local version above `since`, which the scans of the snapshots and of the log are filtered by."""
+        state = self._state(self.cold(since), F.col("local_db_version") > since)
+        return query.changes_since(state, since, excluding)
 
     def counts(self) -> DataFrame:
         """(hot, cold, total): records in the log, in the snapshots, and in the state."""
