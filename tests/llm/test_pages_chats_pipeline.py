@@ -1,12 +1,13 @@
 import hashlib
 import html
+import os
 import re
 
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import chat, html_text
+from tidemark.llm import chat, common, html_text
 
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header class="site-header"><a href=x>Home</a></header>'
@@ -197,7 +198,7 @@ def test_pipeline(spark):
     assert names == ["quality_classifier", "near_dedup", "decontaminate", "mix_sources", "shard"]
     counts = [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
-        out = corpus_pipeline.staged(stage(spark, docs, sf), name)
+        out = common.staged(stage(spark, docs, sf), name)
         if name != "shard":
             assert out.columns == docs.columns
         counts.append(out.count())
@@ -206,3 +207,25 @@ def test_pipeline(spark):
         docs = out
     assert counts[0] > counts[1] > counts[2] >= counts[3] > 0 and counts[4] == counts[5]
     assert docs.select("doc_id").distinct().count() <= counts[3]
+
+
+def _write(spark, folder, rows, ddl="doc_id long, text string, lang string, source string, n_chars long, id string, size string, quality_score int, mix_at int, bucket string"):
+    spark.createDataFrame(rows, ddl).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(1, 40)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "what is two and two in all of this world"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    text = lambda k: " ".join(f"w{(k * 31 + j) % 97}{'x' if k % 2 else ' | '}" for j in range(12))
+    rows = [(k, text(k), None, "a" if k % 3 else None) for k in range(1, 40)] + [(1, text(1), None, "a"), (None, None, None, None), (100, "", None, "b"), (101, " ".join(f"q{j}" for j in range(50_000)), None, "b")]
+    _write(spark, tmp_path / "a", [(*r, 0, "x", "x", 1, 2, "x") for r in rows])
+    out = corpus_pipeline.run(spark, str(tmp_path / "a"))
+    got = out.collect()
+    assert out.columns[-2:] == ["shard", "slot"] and {"quality_score", "mix_at"} <= set(out.columns) and got
+    assert {r.doc_id for r in got} <= {r[0] for r in rows} and len({(r.shard, r.slot) for r in got}) == len(got)
+    assert not [n for n in os.listdir(os.path.dirname(common.new_path(spark, "x"))) if n.startswith("run-")]
+    _write(spark, tmp_path / "b", [])
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).collect() == []
+    _write(spark, tmp_path / "c", [], "doc_id long, text string, lang string, source string, n_chars long, Shard int")
+    with pytest.raises(ValueError):
+        corpus_pipeline.run(spark, str(tmp_path / "c"))

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import Files
+from ..sources.staging import delete, new_path, staged, temporary
 
 #: A side of a join is broadcast only when its measured size is at most this many bytes.
 BROADCAST_BYTES = 8 << 20
@@ -25,51 +21,7 @@ BATCH_ROWS = 1000
 #: A table of less than this for each core is dealt out anew, as a scan has too few splits of it.
 CORE_BYTES = 4 << 20
 
-_own_dir: list[str] = []
-_folder: ContextVar[str | None] = ContextVar("folder", default=None)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own on a local master."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="tidemark-"))
-    return _own_dir[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the one of temporary(), or else below the shared folder."""
-    return f"{_folder.get() or shared_dir(spark) + '/tidemark'}/{name}-{uuid.uuid4().hex}"
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    Files(spark, path).delete("")
-
-
-@contextmanager
-def temporary(spark: SparkSession) -> Iterator[str]:
-    """Tables that are staged inside go to one folder, which is deleted at the end.
-
-    What operators return reads such tables, so it has to be written elsewhere before that.
-    """
-    path = f"{shared_dir(spark)}/tidemark/run-{uuid.uuid4().hex}"
-    token = _folder.set(path)
-    try:
-        yield path
-    finally:
-        _folder.reset(token)
-        delete(spark, path)
-
-
-def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends here and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["delete", "maybe_broadcast", "new_path", "ragged", "slices", "small_batches", "split_words", "spread", "staged", "temporary", "unused"]
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
