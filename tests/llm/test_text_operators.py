@@ -621,3 +621,29 @@ def test_similar_rows_are_those_of_all_pairs(spark):
     assert sorted(r.doc_id for r in staged.collect()) == sorted(set(label.values()))
     assert similar.keep_one(frame(spark, [])).collect() == []
     assert [r.doc_id for r in similar.keep_one(frame(spark, [(3, None, "", ""), (2, "", "", "")])).collect()] == [2]
+
+
+def test_prefix_pairs_let_no_similar_pair_go(spark):
+    rng = random.Random(13)
+    base = list(range(1000, 1060))
+    sets = {}
+    for k in range(120):
+        own = set(base)
+        for _ in range(rng.randrange(16)):
+            own.discard(rng.choice(base))
+            own.add(10_000 + 100 * k + rng.randrange(100) if rng.random() < 0.7 else rng.randrange(2000, 2010))
+        sets[k] = own
+    nodes = spark.createDataFrame([(k, k // 2) for k in sets], "fp long, root long")
+    table = spark.createDataFrame([(k, len(v), sorted(v)) for k, v in sets.items()], "fp long, n long, found array<long>")
+    want = {(a, b) for a in sets for b in sets if a < b and a // 2 != b // 2 and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    found = similar.prefix_pairs(nodes, table, 0.8)
+    assert want <= {tuple(r) for r in found.collect()}
+    assert {tuple(r) for r in similar.similar(found, table, 0.8).collect()} == want and len(want) > 100
+
+
+def test_many_copies_that_are_not_quite_similar_make_few_pairs(spark):
+    """Each copy has shingles of its own, so that any two share less than 0.8 of their union."""
+    sets = {k: [*range(1000, 1100), *range(10_000 + 100 * k, 10_000 + 100 * k + 16)] for k in range(300)}
+    nodes = spark.createDataFrame([(k, k) for k in sets], "fp long, root long")
+    table = spark.createDataFrame([(k, len(v), v) for k, v in sets.items()], "fp long, n long, found array<long>")
+    assert similar.prefix_pairs(nodes, table, 0.8).isEmpty()
