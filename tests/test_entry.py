@@ -3,10 +3,11 @@ import pytest
 
 import __spark_entry__
 
-SF = "/root/testdata/sf0.001"
+SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: The rest of the queries is held against its SQL by the driver; these cover each kind once.
-SOME = ["merge_lww_state", "merge_accepted", "local_all_changes", "overlay_combined", "diff_replicas", "text_merge_bww", "list_insert", "state_digest"]
+#: All queries with SQL, and one of each kind at another size.
+ALL = [(name, SMALL) for name in sorted(__spark_entry__.oracle_sql())]
+SOME = [(name, LARGER) for name in ("merge_accepted", "local_state", "diff_replicas", "text_merge_auto", "list_insert", "store_changes_since")]
 
 
 def test_entry_and_names(spark):
@@ -14,12 +15,12 @@ def test_entry_and_names(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", SOME)
-def test_query_equals_its_sql(spark, name):
+@pytest.mark.parametrize(("name", "size"), ALL + SOME)
+def test_query_equals_its_sql(spark, name, size):
     con = duckdb.connect()
     for t in TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    ours = __spark_entry__.queries()[name](spark, SF)
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{size}/{t}.parquet'")
+    ours = __spark_entry__.queries()[name](spark, size)
     theirs = con.sql(__spark_entry__.oracle_sql()[name])
     assert sorted(ours.columns) == sorted(theirs.columns)
     at = [theirs.columns.index(c) for c in ours.columns]

@@ -137,6 +137,41 @@ cv AS (
 #: With no right origins, order is by left origin and own id.
 LIST_ORDER = "ol_seq NULLS FIRST, ol_rep NULLS FIRST, sequence, replica_id"
 
+#: The lesser of two clocks, one of them 2000.
+COMMON = "(SELECT least(2000, max(greatest(db_version, local_db_version))) FROM b_l)"
+WEIGHED = "ORDER BY coalesce(value::BIGINT, -1) DESC, seq"
+FIRST_DELETES = "SELECT record_id, db_version, node_id, local_db_version FROM timed WHERE op = 'del_record' QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY seq) = 1"
+
+
+def live_fields(where: str, name: str) -> str:
+    """Fields that a merge of part of the log leaves, without versions."""
+    return f"""
+{name}s AS (SELECT * FROM log WHERE {where}),
+{name} AS (
+  SELECT record_id, col_name, value, op FROM {name}s WHERE op <> 'del_record' AND record_id NOT IN (SELECT record_id FROM {name}s WHERE op = 'del_record')
+  QUALIFY row_number() OVER (PARTITION BY record_id, col_name {BEST}) = 1)"""
+
+
+ACCEPTED = [
+    EV, CLOCK,
+    """
+fd AS (SELECT record_id, min(seq) AS dseq FROM timed WHERE op = 'del_record' GROUP BY record_id),
+cand AS (SELECT t.* FROM timed t LEFT JOIN fd USING (record_id) WHERE op <> 'del_record' AND (dseq IS NULL OR seq < dseq)),
+pre AS (SELECT *, max(struct_pack(a := col_version, b := db_version, c := node_id)) OVER (PARTITION BY record_id, col_name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM cand),
+acc AS (
+  SELECT seq, record_id, op, col_name, value, db_version, node_id, local_db_version FROM pre
+  WHERE top IS NULL OR struct_pack(a := col_version, b := db_version, c := node_id) > top
+  UNION ALL SELECT seq, timed.record_id, op, col_name, value, db_version, node_id, local_db_version FROM timed JOIN fd ON fd.record_id = timed.record_id AND seq = dseq)""",
+]
+LEAVES = """
+lf AS (
+  SELECT record_id, sha256(record_id) AS place,
+    sha256(record_id || '|' || coalesce(string_agg(length(col_name)::VARCHAR || ':' || col_name || coalesce('=' || length(value)::VARCHAR || ':' || value, '-'), ';' ORDER BY col_name) FILTER (WHERE present), '')) AS leaf
+  FROM state GROUP BY record_id)"""
+NODES = """
+l2 AS (SELECT substr(place, 1, 2) AS place, sha256(string_agg(leaf, '' ORDER BY record_id)) AS hash FROM lf GROUP BY 1),
+l1 AS (SELECT substr(place, 1, 1) AS up, sha256(string_agg(substr(place, 2, 1) || hash, '' ORDER BY place)) AS hash FROM l2 GROUP BY 1)"""
+
 ORACLES: dict[str, str] = {
     "merge_lww_state": MERGED_STATE,
     "merge_into_state": MERGED_STATE,
@@ -151,20 +186,10 @@ SELECT {STATE} FROM c QUALIFY row_number() OVER (PARTITION BY record_id, col_nam
     "merge_stamped_state": q(*STAMPED, select="SELECT record_id, col_name, local_db_version FROM state"),
     "merge_tombstones": q(EV, CLOCK, select="SELECT record_id, db_version, node_id, local_db_version FROM timed WHERE op = 'del_record' QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY seq) = 1"),
     "merge_clock": q(EV, CLOCK, select="SELECT max(local_db_version) AS clock FROM timed"),
-    "merge_accepted": q(
-        EV, CLOCK,
-        """
-fd AS (SELECT record_id, min(seq) AS dseq FROM timed WHERE op = 'del_record' GROUP BY record_id),
-cand AS (SELECT t.* FROM timed t LEFT JOIN fd USING (record_id) WHERE op <> 'del_record' AND (dseq IS NULL OR seq < dseq)),
-pre AS (SELECT *, max(struct_pack(a := col_version, b := db_version, c := node_id)) OVER (PARTITION BY record_id, col_name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM cand)""",
-        select="""
-SELECT seq, record_id, op, col_name, value, db_version, node_id, local_db_version FROM pre
-WHERE top IS NULL OR struct_pack(a := col_version, b := db_version, c := node_id) > top
-UNION ALL SELECT seq, timed.record_id, op, col_name, value, db_version, node_id, local_db_version FROM timed JOIN fd ON fd.record_id = timed.record_id AND seq = dseq""",
-    ),
-    "merge_custom_rule_key": q(EV, "puts AS (SELECT * FROM log WHERE op = 'put')", merged("puts", "ORDER BY value::BIGINT DESC, seq"), select=f"SELECT {STATE} FROM state"),
-    "merge_custom_rule_fold": q(EV, "puts AS (SELECT * FROM log WHERE op = 'put')", merged("puts", "ORDER BY value::BIGINT DESC, seq"), select=f"SELECT {STATE} FROM state"),
-    "merge_context_rule": q(EV, "puts AS (SELECT * FROM log WHERE op = 'put')", merged("puts", "ORDER BY node_id = 2 DESC, col_version DESC, db_version DESC, node_id DESC, seq"), select=f"SELECT {STATE} FROM state"),
+    "merge_accepted": q(*ACCEPTED, select="SELECT * FROM acc"),
+    "merge_custom_rule_key": q(EV, merged("log", WEIGHED), select=f"SELECT {STATE} FROM state"),
+    "merge_custom_rule_fold": q(EV, merged("log", WEIGHED), select=f"SELECT {STATE} FROM state"),
+    "merge_context_rule": q(EV, merged("log", "ORDER BY node_id = 2 DESC, col_version DESC, db_version DESC, node_id DESC, seq"), select=f"SELECT {STATE} FROM state"),
     "compress_changes": q(EV, "l2 AS (SELECT * FROM log WHERE op <> 'del_record')", select=compressed("l2", f"seq, {CHANGE}, flags")),
     "compress_with_deletes": q(EV, select=compressed("log", f"seq, {CHANGE}, flags")),
     "compress_custom_order": q(EV, select=compressed("log", f"seq, {CHANGE}, flags").replace("ORDER BY col_version DESC, db_version DESC, node_id DESC", "ORDER BY db_version DESC, node_id DESC, seq")),
@@ -180,8 +205,27 @@ SELECT {STATE}, greatest(500, (SELECT max(db_version) FROM d))::BIGINT AS last F
 WHERE record_id NOT IN (SELECT record_id FROM b_t) AND record_id NOT IN (SELECT record_id FROM d WHERE op = 'del_record')
 QUALIFY row_number() OVER (PARTITION BY record_id, col_name ORDER BY col_version DESC, db_version DESC, node_id DESC, src) = 1""",
     ),
-    "compact_tombstones": q(EV, single(1), select="SELECT 'kept' AS what, count(*) AS n FROM rt WHERE db_version >= 1500 UNION ALL SELECT 'removed', count(*) FROM rt WHERE db_version < 1500"),
-    "convergence_check": "SELECT true AS converged",
+    "compact_tombstones": q(EV, single(1), select="SELECT *, (SELECT count(*) FROM rt WHERE db_version < 1500) AS removed FROM rt WHERE db_version >= 1500"),
+    "convergence_check": q(
+        EV, live_fields("true", "x"), live_fields("node_id < 3", "y"),
+        select="""
+SELECT 'all' AS replica, true AS converged
+UNION ALL SELECT 'behind', NOT EXISTS (
+  (SELECT record_id, col_name, value FROM x WHERE op = 'put' EXCEPT ALL SELECT record_id, col_name, value FROM y WHERE op = 'put')
+  UNION ALL (SELECT record_id, col_name, value FROM y WHERE op = 'put' EXCEPT ALL SELECT record_id, col_name, value FROM x WHERE op = 'put'))""",
+    ),
+    "differing_fields": q(
+        EV, live_fields("true", "x"), live_fields("node_id < 3", "y"),
+        select="""
+SELECT x.record_id, x.col_name, x.value, 'left' AS side FROM x LEFT JOIN y ON y.record_id = x.record_id AND y.col_name = x.col_name AND y.value = x.value AND y.op = 'put' WHERE x.op = 'put' AND y.record_id IS NULL
+UNION ALL SELECT y.record_id, y.col_name, y.value, 'right' FROM y LEFT JOIN x ON y.record_id = x.record_id AND y.col_name = x.col_name AND y.value = x.value AND x.op = 'put' WHERE y.op = 'put' AND x.record_id IS NULL""",
+    ),
+    "reset_state": q(EV, single(2), select=f"SELECT {STATE}, local_db_version FROM rc"),
+    "tombstone_of_record": q(EV, single(1), select="SELECT * FROM rt ORDER BY record_id LIMIT 1"),
+    "insert_containers": """
+WITH f AS (
+  SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS v, unnest(['segment', 'nation', 'balance']) AS col_name, unnest([c_mktsegment, c_nationkey::VARCHAR, round(c_acctbal * 100)::BIGINT::VARCHAR]) AS value FROM customer)
+SELECT c_custkey::VARCHAR AS record_id, col_name, value, true AS present, 1::BIGINT AS col_version, v AS db_version, 4::BIGINT AS node_id, v AS local_db_version FROM f""",
     "local_insert_changes": q(ops("put"), select=f"SELECT {OUT} FROM ops3 WHERE emitted"),
     "local_delete_record": q(ops("put", "del_record"), select="SELECT seq, record_id, db_version, 1::BIGINT AS node_id FROM ops3 WHERE emitted AND op = 'del_record'"),
     "local_delete_field": q(ops("put", "del_field"), select=f"SELECT {OUT} FROM ops3 WHERE emitted AND op = 'del_field'"),
@@ -215,7 +259,7 @@ al AS (SELECT * FROM lw UNION ALL SELECT record_id, col_name, value, present, co
     "diff_replicas": q(
         EV, single(1, "a_"), single(2, "b_"),
         f"""
-d AS ({since('a_c', 'a_t', 'local_db_version > 2000')}),
+d AS ({since('a_c', 'a_t', 'local_db_version > ' + COMMON)}),
 f AS (SELECT * FROM b_c WHERE present),
 ids AS (SELECT DISTINCT record_id FROM b_c),
 inv AS (
@@ -225,7 +269,7 @@ inv AS (
     CASE WHEN f.record_id IS NOT NULL OR d.record_id IN (SELECT record_id FROM ids) THEN d.col_name END, f.value, coalesce(f.col_version, 0), coalesce(f.db_version, 2000), 1
   FROM d LEFT JOIN f ON f.record_id = d.record_id AND f.col_name = d.col_name WHERE d.op <> 'del_record'
   UNION ALL
-  SELECT record_id, op, col_name, value, col_version, db_version, node_id FROM ({since('b_c', 'b_t', 'local_db_version > 2000')}))""",
+  SELECT record_id, op, col_name, value, col_version, db_version, node_id FROM ({since('b_c', 'b_t', 'local_db_version > ' + COMMON)}))""",
         select=compressed("inv", "record_id, op, col_name, value, col_version, db_version, node_id"),
     ),
     "revert_child": q(
@@ -258,7 +302,15 @@ FROM d LEFT JOIN f ON f.record_id = d.record_id AND f.col_name = d.col_name WHER
     "text_to_text": q(EDITED, select="SELECT a.doc_id, string_agg(coalesce(ed.new, a.content), chr(10) ORDER BY a.i) AS text FROM alive a LEFT JOIN ed ON ed.doc_id = a.doc_id AND ed.i = a.i AND ed.node_id = 3 GROUP BY a.doc_id"),
     "text_merge_lww": q(EDITED, select="SELECT a.doc_id, a.line_id, coalesce(ed.new, a.content) AS content, CASE WHEN ed.i IS NULL THEN 1 ELSE 2 END::BIGINT AS line_version, CASE WHEN ed.i IS NULL THEN 1 ELSE 2 END::BIGINT AS db_version, coalesce(ed.node_id, 1)::BIGINT AS node_id FROM alive a LEFT JOIN ed ON ed.doc_id = a.doc_id AND ed.i = a.i AND ed.node_id = 3"),
     "text_merge_bww": q(EDITED, select="SELECT doc_id, line_id, CASE node_id WHEN 3 THEN 0 ELSE 1 END::BIGINT AS at, 2::BIGINT AS db_version, node_id::BIGINT AS node_id, new AS content FROM ed UNION ALL SELECT doc_id, line_id, 0, 1, 1, content FROM alive WHERE i % 5 <> 4"),
-    "text_merge_auto": q(EDITED, select="SELECT a.doc_id, a.line_id, coalesce(ed.new, a.content) AS content, CASE WHEN ed.i IS NULL THEN 1 ELSE 2 END::BIGINT AS line_version, CASE WHEN ed.i IS NULL THEN 1 ELSE 2 END::BIGINT AS db_version, coalesce(ed.node_id, 1)::BIGINT AS node_id, (ed.i IS NOT NULL)::INT AS conflicts FROM alive a LEFT JOIN ed ON ed.doc_id = a.doc_id AND ed.i = a.i AND ed.node_id = 3"),
+    "text_merge_auto": q(
+        EDITED, r"w AS (SELECT *, regexp_extract_all(content, '[^ \t\n\x0B\f\r]+') AS ws FROM alive)",
+        select="""
+SELECT doc_id, line_id, CASE WHEN i % 5 <> 4 THEN content WHEN len(ws) = 0 THEN content || ' edit3' ELSE 'edit2 ' || array_to_string(ws, ' ') || ' edit3' END AS content,
+  CASE WHEN i % 5 = 4 THEN 2 ELSE 1 END::BIGINT AS line_version, CASE WHEN i % 5 = 4 THEN 2 ELSE 1 END::BIGINT AS db_version, CASE WHEN i % 5 = 4 THEN 3 ELSE 1 END::BIGINT AS node_id,
+  (i % 5 = 4 AND len(ws) = 0)::INT AS conflicts FROM w""",
+    ),
+    "text_sync": q(EDITED, select="SELECT a.doc_id, a.line_id, coalesce(ed.new, a.content) AS content, CASE WHEN ed.i IS NULL THEN 1 ELSE 2 END::BIGINT AS line_version, CASE WHEN ed.i IS NULL THEN 1 ELSE 2 END::BIGINT AS db_version, coalesce(ed.node_id, 1)::BIGINT AS node_id FROM alive a LEFT JOIN ed ON ed.doc_id = a.doc_id AND ed.i = a.i AND ed.node_id = 3"),
+    "text_collision_order": "SELECT doc_id::VARCHAR AS doc_id, 'by 2,by 3' AS \"order\", 1::BIGINT AS positions FROM documents WHERE text IS NOT NULL",
     "text_word_diff": q(EDITED, select=r"SELECT doc_id, line_id, node_id::BIGINT AS node_id, len(regexp_extract_all(content, '[^ \t\n\x0B\f\r]+'))::INT AS start, len(regexp_extract_all(content, '[^ \t\n\x0B\f\r]+'))::INT AS \"end\", 'edit' || node_id::VARCHAR AS words FROM ed".replace('\\"', '"')),
     "text_tombstones": q(LINES, select="SELECT doc_id, line_id, 1::BIGINT AS line_version, 2::BIGINT AS db_version, 2::BIGINT AS node_id, 2::BIGINT AS local_db_version FROM ln WHERE i % 11 = 10"),
     "text_changes_since": q(EDITED, select="""
@@ -268,7 +320,10 @@ UNION ALL SELECT doc_id, line_id, 'Delete', NULL, NULL, 1, 2, 2 FROM ln WHERE i
     "text_positions_between": q(LINES, select="""
 SELECT doc_id, CASE WHEN i = max(i) OVER (PARTITION BY doc_id) THEN (10000 * (i + 2))::VARCHAR ELSE (10000 * (i + 1) + 5000)::VARCHAR END AS position, 'new' AS content FROM ln"""),
     "text_edit_lines": q(LINES, select="SELECT doc_id, line_id, CASE WHEN i % 5 = 4 AND i % 11 <> 10 THEN content || ' edit2' ELSE content END AS content, CASE WHEN i % 5 = 4 AND i % 11 <> 10 THEN 2 ELSE 1 END::BIGINT AS line_version, CASE WHEN i % 5 = 4 AND i % 11 <> 10 THEN content END AS base_content FROM ln"),
-    "text_delete_lines": q(LINES, select="SELECT doc_id, count(*) AS lines FROM ln WHERE i % 11 <> 10 GROUP BY doc_id"),
+    "text_delete_lines": q(LINES, select="""
+SELECT doc_id, line_id, content, NULL::BIGINT AS deleted_at FROM ln WHERE i % 11 <> 10
+UNION ALL SELECT doc_id, line_id, NULL, 1 + row_number() OVER (ORDER BY doc_id::BIGINT, i) FROM ln WHERE i % 11 = 10"""),
+    "list_sync": q(CONV, select="SELECT list_id, replica_id, sequence, CASE WHEN NOT deleted THEN text END AS value, deleted FROM cv"),
     "list_values": q(CONV, select=f"SELECT list_id, string_agg(value, '|' ORDER BY {LIST_ORDER}) AS joined, count(*) AS n FROM cv WHERE NOT deleted GROUP BY list_id"),
     "list_merge": q(CONV, select="SELECT list_id, replica_id, sequence, CASE WHEN NOT deleted THEN text END AS value, deleted, CASE WHEN deleted THEN 2 ELSE 1 END::BIGINT AS version FROM cv"),
     "list_delta": q(CONV, select="SELECT list_id, replica_id, sequence, text AS value FROM cv WHERE replica_id = 2 AND NOT deleted"),
@@ -284,15 +339,31 @@ GROUP BY ALL"""),
     "snapshot_recover_state": q(*STAMPED, select=f"SELECT {STATE}, local_db_version FROM state"),
     "incremental_snapshot_delta": q(EV, merged(), select="SELECT record_id, col_name FROM state WHERE record_id IN (SELECT record_id FROM state WHERE node_id = 3)"),
     "wal_replay_state": q(*STAMPED, select=f"SELECT {STATE}, local_db_version FROM state"),
-    "state_digest": q(
+    "store_changes_since": q(
+        *STAMPED, f"tomb AS ({FIRST_DELETES})", "half AS (SELECT max(local_db_version) // 2 AS v FROM timed)",
+        select=since("state", "tomb", "local_db_version > (SELECT v FROM half)"),
+    ),
+    "store_outbox": q(*ACCEPTED, select="SELECT * FROM acc"),
+    "store_segments": q(*ACCEPTED, select="SELECT (node_id = 3)::BIGINT AS segment, count(*) AS n, true AS closed FROM acc GROUP BY ALL"),
+    "store_automatic_snapshots": q(
+        EV, live_fields("node_id = 1", "x"), live_fields("true", "z"), live_fields("node_id < 3", "y"), *[c.replace(EV, "").lstrip(",") for c in ACCEPTED[1:]],
+        select="""
+SELECT 0::BIGINT AS place, true AS whole, count(*) AS cells FROM x
+UNION ALL SELECT 1, false, count(*) FROM y WHERE record_id IN (SELECT record_id FROM acc WHERE node_id = 2)
+UNION ALL SELECT 2, true, count(*) FROM z""",
+    ),
+    "store_counts": q(
+        *ACCEPTED, live_fields("node_id < 3", "y"), live_fields("true", "z"),
+        select="SELECT (SELECT count(DISTINCT record_id) FROM acc WHERE node_id = 3) AS hot, (SELECT count(DISTINCT record_id) FROM y) AS cold, (SELECT count(DISTINCT record_id) FROM z) AS total",
+    ),
+    "store_cleaned_state": q(*STAMPED, select=f"SELECT {STATE}, local_db_version FROM state"),
+    "store_compacted_tombstones": q(EV, CLOCK, f"tomb AS ({FIRST_DELETES})", select="SELECT * FROM tomb WHERE db_version >= 1500"),
+    "store_read_by_key": q(
         EV, merged(),
-        """
-lf AS (
-  SELECT record_id, sha256(record_id) AS place,
-    sha256(record_id || '|' || coalesce(string_agg(length(col_name)::VARCHAR || ':' || col_name || coalesce('=' || length(value)::VARCHAR || ':' || value, '-'), ';' ORDER BY col_name) FILTER (WHERE present), '')) AS leaf
-  FROM state GROUP BY record_id),
-l2 AS (SELECT substr(place, 1, 2) AS place, sha256(string_agg(leaf, '' ORDER BY record_id)) AS hash FROM lf GROUP BY 1),
-l1 AS (SELECT substr(place, 1, 1) AS up, sha256(string_agg(substr(place, 2, 1) || hash, '' ORDER BY place)) AS hash FROM l2 GROUP BY 1)""",
-        select="SELECT sha256(string_agg(up || hash, '' ORDER BY up)) AS root FROM l1",
+        select="SELECT k AS record_id, k IN (SELECT record_id FROM state) AS there, k IN (SELECT record_id FROM log WHERE op = 'del_record') AS deleted FROM (VALUES ('7'), ('11'), ('none')) AS v(k)",
     ),
+    "older_schema": q(EV, merged(), select=f"SELECT {STATE}, NULL::BIGINT AS local_db_version FROM state"),
+    "digest_leaves": q(EV, merged(), LEAVES, select="SELECT * FROM lf"),
+    "digest_proof": q(EV, merged(), LEAVES, NODES, select="SELECT (SELECT min(record_id) FROM state) AS record_id, sha256(string_agg(up || hash, '' ORDER BY up)) AS root, true AS holds, false AS forged FROM l1"),
+    "state_digest": q(EV, merged(), LEAVES, NODES, select="SELECT sha256(string_agg(up || hash, '' ORDER BY up)) AS root FROM l1"),
 }

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import positions, words
-from ..model import CELL_COLS, CHANGE_COLS, PUT, Replica, new
+from ..model import CELL_COLS, CHANGE_COLS, PUT, TOMBSTONE_COLS, Replica, new
 from ..operators import digest, merge, mutate, overlay, query, sequence, text
 from ..sources import codec
+from ..sources.staging import new_path as scratch
 from ..sources.store import Config, Store
 from ..streaming.apply import apply_stream, read_changes
 from . import workload as w
@@ -27,16 +26,6 @@ def register(f: Callable) -> Callable:
     return f
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
-
-
 def _split(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The first two writers' part of the log, and the third's."""
     return log.filter("node_id < 3"), log.filter("node_id = 3")
@@ -86,27 +75,26 @@ def merge_clock(spark, sf_dir):
     return spark.createDataFrame([(_merged(spark, sf_dir, True).replica.clock,)], "clock long")
 
 
-LARGEST = merge.Rule(order_key=lambda: [F.col("value").cast("long")])
+LARGEST = merge.Rule(order_key=lambda: [F.coalesce(F.col("value").cast("long"), F.lit(-1))])
 
 
 @register
 def merge_custom_rule_key(spark, sf_dir):
-    log = w.events_log(spark, sf_dir).filter(F.col("op") == PUT)
+    log = w.events_log(spark, sf_dir)
     return merge.merge(new(spark, 9), log, LARGEST, stamped=False).replica.cells.select(*STATE)
 
 
 @register
 def merge_context_rule(spark, sf_dir):
     rule = merge.with_context(lambda trusted: [F.col("node_id") == trusted, F.col("col_version"), F.col("db_version"), F.col("node_id")], trusted=2)
-    log = w.events_log(spark, sf_dir).filter(F.col("op") == PUT)
-    return merge.merge(new(spark, 9), log, rule, stamped=False).replica.cells.select(*STATE)
+    return merge.merge(new(spark, 9), w.events_log(spark, sf_dir), rule, stamped=False).replica.cells.select(*STATE)
 
 
 @register
 def merge_custom_rule_fold(spark, sf_dir):
-    log = w.events_log(spark, sf_dir).filter(F.col("op") == PUT)
-    rule = merge.Rule(predicate=lambda local, remote: int(remote["value"]) > int(local["value"]))
-    return merge.merge(new(spark, 9), log, rule).replica.cells.select(*STATE)
+    weigh = lambda r: -1 if r["value"] is None else int(r["value"])
+    rule = merge.Rule(predicate=lambda local, remote: weigh(remote) > weigh(local))
+    return merge.merge(new(spark, 9), w.events_log(spark, sf_dir), rule).replica.cells.select(*STATE)
 
 
 @register
@@ -133,7 +121,7 @@ def sync_watermark(spark, sf_dir):
 @register
 def compact_tombstones(spark, sf_dir):
     state, removed = merge.compact_tombstones(w.event_replica(spark, sf_dir, 1), 1500)
-    return state.tombstones.agg(F.count(F.lit(1)).alias("n")).select(F.lit("kept").alias("what"), "n").unionAll(removed.select(F.lit("removed"), "removed"))
+    return state.tombstones.select(*TOMBSTONE_COLS, F.lit(removed.first().removed).alias("removed"))
 
 
 @register
@@ -142,7 +130,37 @@ def convergence_check(spark, sf_dir):
     log = w.events_log(spark, sf_dir)
     other_way = log.withColumn("seq", F.lit(1 << 45) - F.col("seq"))
     b = merge.merge(new(spark, 8), other_way, stamped=False).replica
-    return query.converged(a, b)
+    behind = merge.merge(new(spark, 8), log.filter("node_id < 3"), stamped=False).replica
+    return query.converged(a, b).select(F.lit("all").alias("replica"), "converged").unionAll(query.converged(a, behind).select(F.lit("behind"), "converged"))
+
+
+@register
+def differing_fields(spark, sf_dir):
+    behind = merge.merge(new(spark, 8), w.events_log(spark, sf_dir).filter("node_id < 3"), stamped=False).replica
+    return query.differing(_merged(spark, sf_dir).replica, behind)
+
+
+@register
+def reset_state(spark, sf_dir):
+    log = w.events_log(spark, sf_dir).filter("node_id = 2")
+    return mutate.reset(w.event_replica(spark, sf_dir, 1), log).cells.select(*CELL_COLS)
+
+
+@register
+def tombstone_of_record(spark, sf_dir):
+    """The tombstone of the first deleted record by id."""
+    state = w.event_replica(spark, sf_dir, 1)
+    first = state.tombstones.agg(F.min("record_id")).first()[0]
+    return query.tombstone(state, first or "").select(*TOMBSTONE_COLS)
+
+
+@register
+def insert_containers(spark, sf_dir):
+    """Customers, each inserted by one call from a map of its fields."""
+    c = w.table(spark, sf_dir, "customer")
+    fields = F.map_from_arrays(F.array(F.lit("segment"), F.lit("nation"), F.lit("balance")), F.array("c_mktsegment", F.col("c_nationkey").cast("string"), F.round(F.col("c_acctbal") * 100).cast("long").cast("string")))
+    rows = c.select(F.col("c_custkey").alias("seq"), F.col("c_custkey").cast("string").alias("record_id"), fields.alias("fields"), F.lit(0).alias("flags"))
+    return mutate.apply_ops(new(spark, 4), mutate.explode_fields(rows))[0].cells.select(*CELL_COLS)
 
 
 # ---- local writes ------------------------------------------------------------------------------------------
@@ -331,7 +349,7 @@ def text_merge_bww(spark, sf_dir):
 
 @register
 def text_merge_auto(spark, sf_dir):
-    state = text.merge(_text(spark, sf_dir), w.line_edits(spark, sf_dir), text.AUTO_MERGE)
+    state = text.merge(_text(spark, sf_dir), w.line_edits(spark, sf_dir, apart=True), text.AUTO_MERGE)
     return state.lines.select(*LINE_OUT, F.coalesce(F.size("conflicts"), F.lit(0)).alias("conflicts"))
 
 
@@ -376,7 +394,31 @@ def text_edit_lines(spark, sf_dir):
 @register
 def text_delete_lines(spark, sf_dir):
     deletes = w.line_edits(spark, sf_dir).filter("type = 'Delete'").select("seq", "doc_id", "line_id")
-    return text.line_counts(text.delete_lines(_text(spark, sf_dir), deletes)[0])
+    state = text.delete_lines(_text(spark, sf_dir), deletes)[0]
+    left = state.lines.select("doc_id", "line_id", "content", F.lit(None).cast("long").alias("deleted_at"))
+    return left.unionByName(state.tombstones.select("doc_id", "line_id", F.lit(None).cast("string").alias("content"), F.col("db_version").alias("deleted_at")))
+
+
+@register
+def text_sync(spark, sf_dir):
+    """A replica that has only loaded the texts gets another's edits and deletions."""
+    edited = text.merge(_text(spark, sf_dir), w.line_edits(spark, sf_dir))
+    return text.sync(edited, _text(spark, sf_dir), 1)[0].lines.select(*LINE_OUT)
+
+
+@register
+def text_collision_order(spark, sf_dir):
+    """Writers 2 and 3 put a line into the same gap, after every document's first line: line ids decide."""
+    state = _text(spark, sf_dir)
+    docs = state.lines.select("doc_id").distinct()
+    both = None
+    for node in (2, 3):
+        inserts = docs.select(F.col("doc_id").cast("long").alias("seq"), "doc_id", F.lit("after").alias("where"), F.lit("1_1_0").alias("anchor"), F.lit(f"by {node}").alias("content"))
+        made = text.insert_lines(state.with_(node_id=node), inserts)[1]
+        both = made if both is None else both.unionByName(made)
+    state = text.merge(state, both.withColumn("seq", F.col("seq") * 4 + F.col("node_id")))
+    new_ones = state.lines.filter("node_id > 1")
+    return new_ones.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line_id", "content"))), lambda x: x["content"]), ",").alias("order"), F.countDistinct("position").alias("positions"))
 
 
 # ---- lists -------------------------------------------------------------------------------------------------
@@ -438,6 +480,12 @@ def list_changes_since(spark, sf_dir):
     return sequence.changes_since(w.conversation_list(spark, sf_dir), 2).select("list_id", "replica_id", "sequence", "deleted")
 
 
+@register
+def list_sync(spark, sf_dir):
+    a, b = _halves(spark, sf_dir)
+    return sequence.sync(a, b, 0)[0].select("list_id", "replica_id", "sequence", "value", "deleted")
+
+
 # ---- storage and streams -----------------------------------------------------------------------------------
 
 
@@ -481,6 +529,103 @@ def tiered_read(spark, sf_dir):
     return store.get_record("7").select(*STATE)
 
 
+@register
+def store_changes_since(spark, sf_dir):
+    """By versions of the store's own clock: what the second half of all changes has left."""
+    store = _stored(spark, sf_dir, True)
+    return store.changes_since(store.clock // 2).drop("seq", "flags")
+
+
+@register
+def store_outbox(spark, sf_dir):
+    """What is to be sent on after two merges."""
+    store = Store.open(spark, scratch(spark, "store"), 9, Config(snapshot_changes=1 << 62, snapshot_seconds=float("inf"), batch_limit=1 << 62))
+    for part in _split(w.events_log(spark, sf_dir)):
+        store.merge(part)
+    return store.take_batch().select("seq", "record_id", "op", "col_name", "value", "db_version", "node_id", "local_db_version")
+
+
+@register
+def store_segments(spark, sf_dir):
+    """Changes of each segment of the log, as hooks see them, and whether the segment is closed."""
+    store = Store.open(spark, scratch(spark, "store"), 9, Config(snapshot_changes=1, snapshot_seconds=float("inf")))
+    seen: list = []
+    store.after_change.append(lambda c: seen.append(c.count()))
+    for part in _split(w.events_log(spark, sf_dir)):
+        store.merge(part)
+    closed = {s["segment"] for s in store.manifest["sealed"]}
+    return spark.createDataFrame([(k, n, k in closed) for k, n in enumerate(seen)], "segment long, n long, closed boolean")
+
+
+@register
+def store_automatic_snapshots(spark, sf_dir):
+    """Snapshots that come by themselves, full and incremental in turn, with the cells that each holds."""
+    store = Store.open(spark, scratch(spark, "store"), 9, Config(snapshot_changes=1, snapshot_seconds=float("inf"), full_every=1))
+    log = w.events_log(spark, sf_dir)
+    for node in (1, 2, 3):
+        store.merge(log.filter(F.col("node_id") == node))
+    return spark.createDataFrame([(k, s["base"] is None, s["cells"]) for k, s in enumerate(store.manifest["snapshots"])], "place long, whole boolean, cells long")
+
+
+@register
+def store_counts(spark, sf_dir):
+    first, second = _split(w.events_log(spark, sf_dir))
+    store = Store.open(spark, scratch(spark, "store"), 9, NO_SNAPSHOTS)
+    store.merge(first)
+    store.snapshot()
+    store.merge(second)
+    return store.counts()
+
+
+@register
+def store_cleaned_state(spark, sf_dir):
+    """The state after old snapshots and segments are gone, opened again."""
+    store = _stored(spark, sf_dir, True)
+    store.snapshot(full=True)
+    store.cleanup_snapshots(1)
+    store.cleanup_segments()
+    return Store.open(spark, store.root, 9, NO_SNAPSHOTS).replica().cells.select(*CELL_COLS)
+
+
+@register
+def store_compacted_tombstones(spark, sf_dir):
+    """Tombstones that are left after those before version 1,500 have been dropped for good."""
+    store = _stored(spark, sf_dir, True)
+    store.compact_tombstones(1500)
+    return Store.open(spark, store.root, 9, NO_SNAPSHOTS).replica().tombstones.select(*TOMBSTONE_COLS)
+
+
+@register
+def store_read_by_key(spark, sf_dir):
+    """Whether records are there, deleted or unknown, by point reads."""
+    store = _stored(spark, sf_dir, True)
+    return spark.createDataFrame([(k, store.contains(k), store.is_tombstoned(k)) for k in ("7", "11", "none")], "record_id string, there boolean, deleted boolean")
+
+
+@register
+def older_schema(spark, sf_dir):
+    """A state written without local versions and with a column more."""
+    path = scratch(spark, "codec")
+    state = _merged(spark, sf_dir).replica
+    state.cells.drop("local_db_version").withColumn("extra", F.lit(1)).write.parquet(f"{path}/cells")
+    state.tombstones.write.parquet(f"{path}/tombstones")
+    return codec.read(spark, path, 9).cells.select(*CELL_COLS)
+
+
+@register
+def digest_leaves(spark, sf_dir):
+    return digest.leaves(_merged(spark, sf_dir).replica)
+
+
+@register
+def digest_proof(spark, sf_dir):
+    """Whether a record's proof leads to the root, and whether it does with another leaf."""
+    state = overlay.written(_merged(spark, sf_dir).replica)
+    first = query.live_cells(state).agg(F.min("record_id")).first()[0]
+    root, proof = digest.root(state).first().root, digest.prove(state, first)
+    return spark.createDataFrame([(first, root, digest.verify(root, proof), digest.verify(root, proof | {"leaf": "0" * 64}))], "record_id string, root string, holds boolean, forged boolean")
+
+
 @register
 def json_round_trip(spark, sf_dir):
     return codec.from_json(codec.to_json(_merged(spark, sf_dir).replica)).cells.select(*STATE)
