@@ -45,7 +45,7 @@ IS_NUM, IS_CAP, IS_UNIT, FIRST, LAST_ENDS = 1, 2, 4, 8, 16
 #: Cells of the bitmap that lets only windows with a chance of a match leave their task: half a MB.
 CELLS = 1 << 22
 #: Distinct words that a worker remembers; then it forgets half. Text bytes that it looks at together.
-MOST_WORDS, SLICE_BYTES = 400_000, 4 << 20
+MOST_WORDS, SLICE_BYTES = 200_000, 1 << 20
 #: A token as it is remembered: the hash of its lower-cased string and its flags.
 PACKED = np.dtype([("hash", ">u8"), ("flags", "u1")])
 #: Words of one run of letters, with marks after it that don't end a sentence or do.
