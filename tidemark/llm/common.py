@@ -40,11 +40,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """df for work in Python; a table too small for a split a core is dealt out by key, so that all cores work."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df for work in Python; a table too small for a split a core is dealt out by keys, so that all cores work."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, key) if size < cores * CORE_BYTES else df
+    return df.repartition(cores, *keys) if size < cores * CORE_BYTES else df
 
 
 def unused(docs: DataFrame, name: str) -> str:

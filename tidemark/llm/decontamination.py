@@ -203,7 +203,7 @@ def template_windows(table: DataFrame, id_col: str, text_col: str, only: np.ndar
                     [batch.column("id").take(pa.array(row[w])), pa.array(at[w]), pa.array(key[w]), pa.array(slots(w), pa.list_(pa.string()))], names=["id", "at", "key", "slots"]
                 )
 
-    return spread(thin, "text").mapInArrow(run, thin.select("id").schema.add("at", "long").add("key", "long").add("slots", ArrayType(StringType())))
+    return spread(thin, "id", "text").mapInArrow(run, thin.select("id").schema.add("at", "long").add("key", "long").add("slots", ArrayType(StringType())))
 
 
 def cells_of(items: DataFrame) -> np.ndarray:
