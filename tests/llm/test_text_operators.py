@@ -12,6 +12,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -116,6 +117,15 @@ def test_links_are_all_close_pairs(spark):
     assert got == sorted((a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2)
 
 
+def test_driver_holds_no_large_side(spark, tmp_path):
+    """Spark takes the balls of written fingerprints for as small as their file; the driver must not hold them."""
+    spark.range(1000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/fps")
+    fps = spark.read.parquet(f"{tmp_path}/fps")
+    assert "Broadcast" not in simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    joined = fps.join(common.maybe_broadcast(fps.withColumnRenamed("fp", "x"), 24, limit=24), F.col("fp") == F.col("x"))
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
 def test_components(spark, shape):
     rng = random.Random(4)

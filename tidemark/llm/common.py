@@ -21,12 +21,21 @@ BATCH_ROWS = 1000
 #: A table of less than this for each core is dealt out anew, as a scan has too few splits of it.
 CORE_BYTES = 4 << 20
 
-__all__ = ["delete", "maybe_broadcast", "new_path", "ragged", "slices", "small_batches", "split_words", "spread", "staged", "temporary", "unused"]
+__all__ = ["delete", "maybe_broadcast", "new_path", "ragged", "shuffled", "slices", "small_batches", "split_words", "spread", "staged", "temporary", "unused"]
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit in limit; else df, for a shuffled join."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    """df with a broadcast hint if its counted rows fit in limit; else df for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that shuffles both sides.
+
+    Spark takes a written table's compressed size for its own and doesn't count what explode() adds, so it may
+    broadcast millions of rows, all of which the driver would hold.
+    """
+    return df.hint("merge")
 
 
 def small_batches(spark: SparkSession) -> None:

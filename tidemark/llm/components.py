@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import maybe_broadcast, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,12 +28,13 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.groupBy(F.col("a").alias("node")).agg(F.min(least(F.col("b"))).alias("m"))
         reps = staged(near.select("node", F.least("m", least(F.col("node")))["v"].alias("rep")), "reps")
         rounds.append(reps)
+        reps = maybe_broadcast(reps, 24)
         ra, rb = reps.select(F.col("node").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("node").alias("b"), F.col("rep").alias("rb"))
         moved = edges.join(ra, "a").join(rb, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         edges = staged(moved.distinct(), "edges")
     if not rounds:
         return links.sparkSession.createDataFrame([], "node long, root long")
-    roots = rounds[-1].select("node", F.col("rep").alias("root"))
+    roots = maybe_broadcast(rounds[-1], 24).select("node", F.col("rep").alias("root"))
     for reps in reversed(rounds[:-1]):
         later = roots.select(F.col("node").alias("rep"), "root")
         roots = reps.join(later, "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
