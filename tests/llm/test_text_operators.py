@@ -633,6 +633,27 @@ def test_similar_rows_are_those_of_all_pairs(spark):
     assert [r.doc_id for r in similar.keep_one(frame(spark, [(3, None, "", ""), (2, "", "", "")])).collect()] == [2]
 
 
+def test_similar_rows_are_found_by_simhash(spark):
+    """Without any MinHash key, what multi-index hashing finds is compared: fingerprints at most 2 bits apart."""
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    texts = {0: " ".join(base), 100: "one two three", 101: "one two four"}
+    texts |= {k: " ".join(base[: 150 * k] + ["changed"] + base[150 * k + 1 :]) for k in range(1, 25)}
+    prints = {i: similar.set_fingerprint(similar.shingle_set(t)) for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in texts if ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 2]
+    label = _classes(texts, near)
+    assert len(set(label.values())) < len(texts) - 10 and label[100] != label[101]
+    docs = frame(spark, [(i, t, "en", "z") for i, t in texts.items()])
+    rows = similar.sketches(docs, "doc_id", "text", similar.SHINGLE)
+    bare = rows.withColumn("keys", F.array().cast("array<long>"))
+    groups = {r.fp: r.component for r in similar.near_groups(docs, bare, "doc_id", "text", similar.SHINGLE, similar.SIMILARITY).collect()}
+    assert {r.id: groups[r.fp] for r in rows.collect()} == label
+    # Alike in all bits, but not in their sets: the exact check keeps them apart.
+    same = bare.withColumn("sim", F.lit(0).cast("long")).filter("id >= 100")
+    apart = similar.near_groups(docs, same, "doc_id", "text", similar.SHINGLE, similar.SIMILARITY)
+    assert sorted(r.component for r in apart.collect()) == [100, 101]
+
+
 def test_prefix_pairs_let_no_similar_pair_go(spark):
     rng = random.Random(13)
     base = list(range(1000, 1060))

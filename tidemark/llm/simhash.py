@@ -10,7 +10,7 @@ are one row throughout; groups are never expanded into pairs.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,13 @@ def shingles(text: str | None, words: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     """Majority of the bits of the shingles' XXH64; zero for no words."""
+    return majority(shingles(text, words))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of all hashes, as a signed long."""
     set_bits, n = np.zeros(64, np.int64), 0
-    for h in shingles(text, words):
+    for h in parts:
         set_bits += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(h)
     return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big", signed=True)

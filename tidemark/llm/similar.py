@@ -1,13 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of their sets of word shingles, found by MinHash bands and verified.
-
-Texts with equal sets are one node throughout. Each node has BANDS keys of ROWS minima; nodes that share a key
-may be similar. The sets of those that may be are compared exactly, so every link is right. A pair is overlooked
-only if all its keys differ: a chance of (1 - similarity^ROWS)^BANDS, 4e-7 for a pair at exactly 0.8, less above.
-
-Groups are not expanded into pairs. First each node is compared with one leader of each of its keys, three times
-with other leaders. A key's leader is done with then, and so are keys whose other nodes are in one component. The
-nodes of other keys may be many and all alike, but for less than the similarity that counts. They are compared only
-if they share a shingle among the rarest of both: the exact prefix filter, which lets no similar pair go.
+"""Near-duplicates by the Jaccard similarity of their sets of word shingles: SimHash groups, checked and completed.
+
+Texts with equal sets are one node throughout. Each node has a SimHash fingerprint of its set; multi-index hashing
+(simhash.py) groups those that differ in at most 2 bits, and the sets of a group are compared exactly. Nodes may be
+similar and differ in more bits, so each has BANDS keys of ROWS MinHash minima besides; nodes that share a key may be
+similar, and their sets are compared exactly too, so every link is right. A pair is overlooked only if it is in no
+group and all its keys differ: a chance of (1 - similarity^ROWS)^BANDS, 4e-7 for a pair at exactly 0.8, less above.
+
+Groups are not expanded into pairs. First each node is compared with the leader of its SimHash group, then with one
+leader of each of its keys, three times with other leaders. A key's leader is done with then, and so are keys (a group
+is one) whose other nodes are in one component. The nodes of other keys may be many and all alike, but for less than
+the similarity that counts. They are compared only if they share a shingle among the rarest of both: the exact prefix
+filter, which lets no similar pair go.
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType
 
 from .common import maybe_broadcast, slices, small_batches, staged
 from .components import components
-from .simhash import SEED, keep_least, named_groups, shingles
+from .simhash import BITS, SEED, keep_least, majority, named_groups, shingles
+from .simhash import near_groups as simhash_groups
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 4
@@ -56,18 +61,28 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return np.array([int.from_bytes(xxhash.xxh64_digest(band.tobytes(), b), "big", signed=True) for b, band in enumerate(least.reshape(BANDS, ROWS))], np.int64)
 
 
-def _of_texts(docs: DataFrame, id_col: str, text_col: str, words: int, name: str, values) -> DataFrame:
-    """id, fp (the set's name), n (its size) and the column `name`, an array of what values(set) gives, for every row."""
+def set_fingerprint(found: np.ndarray) -> int:
+    """A set's SimHash fingerprint, as a signed long."""
+    return majority(found[at : at + (1 << 16)] for at in range(0, len(found), 1 << 16))
+
+
+def _of_texts(docs: DataFrame, id_col: str, text_col: str, words: int, **values) -> DataFrame:
+    """id, fp (the set's name), n (its size) and for every name=(type, function) a column of what function(set) gives."""
     small_batches(docs.sparkSession)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
+    kinds = thin.select("id").schema.add("fp", "long").add("n", "long")
+    for name, (kind, _) in values.items():
+        kinds = kinds.add(name, kind)
+    arrow = [to_arrow_type(f.dataType) for f in kinds.fields[1:]]
+    makers = [name_of, len, *(made for _, made in values.values())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            rows = [(name_of(found), len(found), values(found)) for found in (shingle_set(t, words) for t in batch.column("text").to_pylist())]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "fp", "n", name])
+            rows = [[make(found) for make in makers] for found in (shingle_set(t, words) for t in batch.column("text").to_pylist())]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "fp", "n", *values])
 
-    kinds = thin.select("id").schema.add("fp", "long").add("n", "long").add(name, ArrayType(LongType()))
     return thin.mapInArrow(run, kinds)
 
 
@@ -102,33 +117,43 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def near_groups(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(fp, component) for every distinct fp of rows(id, fp, n, keys); component is the least id reachable over links."""
-    distinct = staged(rows.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
-    keyed = distinct.select("fp", "n", F.explode("keys").alias("key"))
+def shared_keys(keyed: DataFrame, name: str) -> DataFrame:
+    """The rows of keyed(fp, n, key) whose key has more than one."""
     twice = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    shared = staged(keyed.join(twice, "key"), "shared")
+    return staged(keyed.join(twice, "key").select("fp", "n", "key"), name)
+
+
+def near_groups(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bits: int = BITS) -> DataFrame:
+    """(fp, component) for every distinct fp of rows(id, fp, n, sim, keys); component is the least id reachable over links."""
+    first = [F.first(c).alias(c) for c in ("n", "sim", "keys")]
+    distinct = staged(rows.groupBy("fp").agg(F.min("id").alias("least"), *first), "distinct")
+    close = simhash_groups(distinct.select(F.col("least").alias("id"), F.col("sim").alias("fp")), bits).select(F.col("fp").alias("sim"), F.xxhash64("component").alias("key"))
+    grouped = shared_keys(distinct.select("fp", "n", "sim").join(maybe_broadcast(close, 24), "sim").select("fp", "n", "key"), "close")
+    shared = shared_keys(distinct.select("fp", "n", F.explode("keys").alias("key")), "shared")
     # No pair is similar if one set is smaller than `similarity` of the other.
     near = lambda a, b: F.least(a, b) / F.greatest(a, b) >= similarity
-    asked = distinct.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "least")
+    asked = distinct.join(shared.select("fp").unionAll(grouped.select("fp")).distinct(), "fp", "left_semi").select("fp", "least")
     ids = staged(asked.select(F.col("least").alias("asked_id")).distinct(), "asked")
     texts = docs.select(id_col, text_col).join(maybe_broadcast(ids, 24), F.col(id_col).eqNullSafe(F.col("asked_id")), "left_semi")
-    found = _of_texts(texts, id_col, text_col, words, "found", lambda s: s.view(np.int64))
+    found = _of_texts(texts, id_col, text_col, words, found=(ArrayType(LongType()), lambda s: s.view(np.int64)))
     sets = staged(found.select("fp", "n", "found").dropDuplicates(["fp"]), "sets")
-    links, roots, left = None, None, shared
+    links, roots, left = None, None, grouped
     # Within a key, a leader has been compared with all others then, and goes: small keys are soon done.
-    for k in range(LEADERS + 1):
+    for k in range(LEADERS + 2):
+        if k == 1:
+            # Keys whose nodes SimHash has linked by now are done.
+            left = left.unionByName(shared)
         if roots is None:
             rest = left.withColumn("root", F.col("fp"))
         else:
             labelled = left.join(roots, left.fp == roots.node, "left").select("fp", "n", "key", F.coalesce("root", "fp").alias("root"))
             split = labelled.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key")
             rest = staged(labelled.join(split, "key"), "rest")
-        if k == LEADERS:
+        if k > LEADERS:
             pairs = prefix_pairs(staged(rest.select("fp", "root").distinct(), "unlinked"), sets, similarity)
         else:
             # The first leaders are few nodes, so that most copies of one text meet at once.
-            order = F.struct(F.xxhash64("fp") if k == 0 else F.xxhash64(F.lit(k), "key", "fp"), "fp")
+            order = F.struct(F.xxhash64("fp") if k < 2 else F.xxhash64(F.lit(k), "key", "fp"), "fp")
             leader = F.min_by(F.struct("fp", "n", "root"), order)
             mine = staged(rest.groupBy("key").agg(leader.alias("m")).select("key", F.col("m.fp").alias("a"), F.col("m.n").alias("na"), F.col("m.root").alias("ra")), "leaders")
             other = rest.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
@@ -141,6 +166,11 @@ def near_groups(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, wo
     return named_groups(distinct.select("fp", "least"), roots)
 
 
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """id, fp (the set's name), n (its size), sim (its SimHash fingerprint) and keys (of MinHash) for every row."""
+    return _of_texts(docs, id_col, text_col, words, sim=(LongType(), set_fingerprint), keys=(ArrayType(LongType()), band_keys))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs, all columns, without the rows whose component has a row with a smaller id; repeated ids stay once.
 
@@ -148,6 +178,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     least `similarity` of their union. A text of fewer words is one shingle; texts without words, null ones
     too, are copies of each other. An empty table gives an empty result.
     """
-    sketch = _of_texts(docs, id_col, text_col, words, "keys", band_keys)
-    rows = staged(sketch, "sketches")
+    rows = staged(sketches(docs, id_col, text_col, words), "sketches")
     return keep_least(docs, rows, near_groups(docs, rows, id_col, text_col, words, similarity), id_col)
