@@ -633,6 +633,18 @@ def test_similar_rows_are_those_of_all_pairs(spark):
     assert [r.doc_id for r in similar.keep_one(frame(spark, [(3, None, "", ""), (2, "", "", "")])).collect()] == [2]
 
 
+def test_distinct_words_are_cut_by_arrow():
+    """Ids are the tokenizer's; of words that differ in case and marks, the letters are encoded once for all."""
+    json = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    encoder, plain = token_ids.Encoder(json), Tokenizer.from_str(json)
+    words = [a + b for a in ("Lorem", "lorem", "ÀÉß", "ÿ", "") for b in ("", ".", ",***", "...%%%")] + ["it's", "日本", "a-b", "x1", "1,5", "A\u0301.", "É\x00", "\u00a0", "İ!"]
+    for some in (words, words[::-1], [], ["it's"], ["lorem"]):
+        lens, flat = encoder.words(pa.array(some, pa.large_string()))
+        want = [plain.encode(w, add_special_tokens=False).ids for w in some]
+        assert lens.tolist() == list(map(len, want)) and flat.tolist() == [i for ids in want for i in ids]
+    assert {w for w in encoder.known if w.isalpha()} == {"lorem", "àéß", "ÿ"}
+
+
 def test_similar_rows_are_found_by_simhash(spark):
     """Without any MinHash key, what multi-index hashing finds is compared: fingerprints at most 2 bits apart."""
     rng = random.Random(14)

@@ -21,7 +21,7 @@ BATCH_ROWS = 1000
 #: A table of less than this for each core is dealt out anew, as a scan has too few splits of it.
 CORE_BYTES = 4 << 20
 
-__all__ = ["delete", "maybe_broadcast", "new_path", "ragged", "shuffled", "slices", "small_batches", "split_words", "spread", "staged", "temporary", "unused"]
+__all__ = ["coded_words", "delete", "maybe_broadcast", "new_path", "ragged", "shuffled", "slices", "small_batches", "split_words", "spread", "staged", "temporary", "unused"]
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -101,8 +101,14 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list]:
     """Words between ASCII white space: (row boundaries, index of each word, distinct words)."""
+    bounds, index, distinct = coded_words(text)
+    return bounds, index, distinct.to_pylist()
+
+
+def coded_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """As split_words, with the distinct words in an Arrow array."""
     words = pc.ascii_split_whitespace(pc.fill_null(text, "").cast(pa.large_string()))
     flat = words.flatten()
     coded = pc.dictionary_encode(flat)
     at = words.offsets.to_numpy().astype(np.int64)
-    return at - at[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    return at - at[0], coded.indices.to_numpy(), coded.dictionary

@@ -14,14 +14,14 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import huffman
-from .common import maybe_broadcast, new_path, ragged, slices, small_batches, split_words, staged
+from .common import coded_words, maybe_broadcast, new_path, ragged, slices, small_batches, staged
 
 END_ID = 1
 #: Ids after which a block ends with its document.
@@ -34,7 +34,7 @@ MOST_WORDS = 600_000
 SLICE_BYTES = 6 << 20
 #: Words of letters, then marks, whose ids are those of the letters followed by those of the marks: no
 #: apostrophes, which begin words of their own, and only letters whose lower case is one letter.
-SIMPLE = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!#$%&()*+,./:;=?@|\[\]{}~_^-]*)")
+SIMPLE = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!#$%&()*+,./:;=?@|\[\]{}~_^-]*)$"
 END_OF_WORD = "</w>"
 #: What a tokenizer must do for its ids to be those of words, and of the pieces of SIMPLE words.
 BY_WORDS = {
@@ -85,24 +85,33 @@ class Encoder:
             else:
                 self.known.update(zip(some, self.each(some), strict=True))
 
-    def words(self, words: list[str]) -> list[bytes]:
+    def pieces(self, pieces: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > MOST_WORDS:
             for w in list(known)[: MOST_WORDS // 2]:
                 del known[w]
-        out = list(map(known.get, words))
-        missing = [i for i, ids in enumerate(out) if ids is None]
-        pairs = [SIMPLE.fullmatch(words[i]) for i in missing]
-        pairs = [m and (m[1].lower(), m[2]) for m in pairs]
-        self.learn([p for p in dict.fromkeys(p for pair in pairs if pair for p in pair if p) if p not in known])
         known[""] = b""
-        odd = [i for i, pair in zip(missing, pairs, strict=True) if not pair]
-        for i, pair in zip(missing, pairs, strict=True):
-            if pair:
-                out[i] = known[pair[0]] + known[pair[1]]
-        for i, ids in zip(odd, self.each([words[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+        self.learn([p for p in pieces if p not in known])
+        return list(map(known.__getitem__, pieces))
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of every one of distinct words, and all ids one after the other."""
+        cut = pc.extract_regex(words, SIMPLE)
+        odd = np.flatnonzero(pc.is_null(cut).to_numpy(zero_copy_only=False))
+        letters = pc.dictionary_encode(pc.utf8_lower(pc.struct_field(cut, "letters")))
+        marks = pc.dictionary_encode(pc.struct_field(cut, "marks"))
+        ids = self.pieces(letters.dictionary.to_numpy(zero_copy_only=False).tolist())
+        first = pc.fill_null(letters.indices, 0).to_numpy().astype(np.int64)
+        second = pc.fill_null(marks.indices, 0).to_numpy() + len(ids)
+        ids += self.pieces(marks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # An odd word is a piece by itself, followed by the empty one.
+        first[odd] = len(ids) + np.arange(len(odd))
+        second[odd] = len(ids) + len(odd)
+        ids += [*self.each(words.take(pa.array(odd)).to_pylist()), b""]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        both = np.stack((first, second), axis=1)
+        flat = np.frombuffer(b"".join(ids), "<u4")[ragged((np.cumsum(lens) - lens)[both.ravel()], lens[both.ravel()])]
+        return lens[both].sum(axis=1), flat
 
     def texts(self, text: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of every text, and all ids one after the other."""
@@ -110,10 +119,8 @@ class Encoder:
             whole = self.each([t or "" for t in text.to_pylist()])
             ns, got = np.fromiter(map(len, whole), np.int64, len(whole)) >> 2, np.frombuffer(b"".join(whole), "<u4")
             return self.ended(ns, got, end_id)
-        bounds, index, distinct = split_words(text)
-        ids = self.words(distinct)
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        flat = np.frombuffer(b"".join(ids), "<u4")
+        bounds, index, distinct = coded_words(text)
+        lens, flat = self.words(distinct)
         each = lens[index]
         ends = np.concatenate(([0], np.cumsum(each)))[bounds]
         ns = np.diff(ends)
