@@ -690,3 +690,20 @@ def test_many_copies_that_are_not_quite_similar_make_few_pairs(spark):
     nodes = spark.createDataFrame([(k, k) for k in sets], "fp long, root long")
     table = spark.createDataFrame([(k, len(v), v) for k, v in sets.items()], "fp long, n long, found array<long>")
     assert similar.prefix_pairs(nodes, table, 0.8).isEmpty()
+
+
+@pytest.mark.parametrize("few", [0, 60, None])
+def test_components_finish_in_one_task(spark, few, monkeypatch):
+    """What Spark contracts, what one task does and any mix of them agree; a small table is written twice, not twice a round."""
+    rng = random.Random(15)
+    links = [(i, i + 1) for i in range(-60, 60)] + [(rng.randrange(1000, 1080), rng.randrange(1000, 1080)) for _ in range(50)] + [(2**62, -(2**62))]
+    written = []
+    monkeypatch.setattr(components, "staged", lambda df, name, real=components.staged: written.append(name) or real(df, name))
+    if few is not None:
+        monkeypatch.setattr(components, "FEW", few)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    nodes = {n for a, b in links if a != b for n in (a, b)}
+    label = _classes(nodes, [(a, b) for a, b in links if a != b])
+    assert set(got) == nodes
+    assert len(set(got.values())) == len({(label[n], got[n]) for n in nodes}) == len(set(label.values()))
+    assert written == ["edges", "reps"] if few is None else len(written) > 4
